@@ -119,7 +119,7 @@ def fuzzy_matches(
 
 def terms(text: Column) -> Column:
     """Words of two or more characters, and their bigrams, of the lower-cased text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = F.zip_with(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
         F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
