@@ -1,25 +1,19 @@
 """Word lists, patterns and formats that results depend on."""
 
-# Text that stands for a missing amount or date.
-NULL_AMOUNTS = ["null", "none", "-", "--", "n/a", ""]
-NULL_DATES = ["null", "none", "-", "", "n/a"]
-
 # Date layouts in trial order, as (guard, Spark pattern).
 DATE_LAYOUTS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2} \w{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2}-\w{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2} \w{3} \d{2}$", "d MMM yy"),
-    (r"^\d{1,2}-\w{3}-\d{2}$", "d-MMM-yy"),
+    (r"^\d{1,2}(?:-\w{3}-|\s+\w{3}\s+)\d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2}(?:-\w{3}-|\s+\w{3}\s+)\d{2}$", "d MMM yy"),
     (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
     (r"^\d{8}$", "ddMMyyyy"),
-    (r"^\w{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\w+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\w{3}\s+\d{1,2},\s+\d{4}$", "MMM d, yyyy"),
+    (r"^\w+\s+\d{1,2},\s+\d{4}$", "MMMM d, yyyy"),
 ]
+MONTH_FIRST = (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy")
 
 # Layouts accepted for the date of an already parsed row.
 PARSED_DATE_LAYOUTS = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "M/d/yyyy"]

@@ -27,43 +27,34 @@ def strip(c: Column) -> Column:
 
 
 def clean_amount(c: Column) -> Column:
-    """Signed number in an amount text, null when there is none."""
-    s = strip(c)
-    up = F.upper(s)
-    in_parens = s.startswith("(") & s.endswith(")")
-    minus = s.startswith("-")
-    negative = in_parens | minus | up.contains("DR") | up.contains("DEBIT")
-    body = F.when(in_parens, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(
-        F.regexp_replace(s, "^-", "")
-    )
-    # "Rs." is taken out whole so that its dot is not read as a decimal point.
-    digits = F.regexp_replace(F.regexp_replace(body, r"(?i)\brs\.?\s*", ""), r"[^0-9.\-]", "")
-    head = F.substring_index(digits, ".", 1)
-    tail = F.regexp_replace(F.regexp_replace(digits, r"^[^.]*\.?", ""), r"\.", "")
-    number = F.concat(head, F.when(digits.contains("."), F.lit(".")).otherwise(F.lit("")), tail).try_cast("double")
-    signed = F.when(negative, -F.abs(number)).otherwise(number)
-    return F.when(F.lower(s).isin(v.NULL_AMOUNTS), F.lit(None)).otherwise(signed)
+    """Signed number in an amount text, null when there is none.
+
+    Parentheses, a leading minus and DR or DEBIT mean negative. "Rs." is taken
+    out whole so that its dot is not read as a decimal point; of several dots
+    the first one counts.
+    """
+    negative = c.rlike(r"(?is)^\s*(?:-|\(.*\)\s*$)|dr|debit")
+    digits = F.regexp_replace(c, r"(?i)\brs\.?\s*|[^0-9.\-]|^\s*-", "")
+    number = F.regexp_replace(digits, r"(?<=\.[0-9\-]{0,60})\.", "").try_cast("double")
+    return F.when(negative, -F.abs(number)).otherwise(number)
 
 
 def clean_date(c: Column, as_of: dt.date, preferred: str | None = None) -> Column:
     """First layout that gives a day from 1990 up to the day after ``as_of``."""
-    s = squeeze(c)
-    named = F.initcap(F.lower(F.regexp_replace(s, "-", " ")))
-
-    def read(guard: str, layout: str) -> Column:
-        if "MMM" in layout:
-            day = F.try_to_date(named, layout.replace("-", " "))
-        else:
-            day = F.try_to_date(s, layout)
-        if layout.endswith("yy") and not layout.endswith("yyyy"):
-            day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
-        day = F.when(s.rlike(guard), day)
-        return F.when((day <= F.lit(as_of + dt.timedelta(days=1))) & (day >= F.lit(dt.date(1990, 1, 1))), day)
-
-    tried = [read(g, f) for g, f in v.DATE_LAYOUTS]
+    s = F.trim(c)
+    named = F.initcap(F.regexp_replace(s, r"[-\s]+", " "))
+    tried = [F.when(s.rlike(g), F.try_to_date(named if "MMM" in f else s, f)) for g, f in v.DATE_LAYOUTS]
     if preferred:
         tried.insert(0, F.try_to_date(s, preferred))
-    return F.when(F.lower(s).isin(v.NULL_DATES), F.lit(None)).otherwise(F.coalesce(*tried))
+    # Only d/M/yyyy has a second reading, used when the first is out of range.
+    month_first = F.when(s.rlike(v.MONTH_FIRST[0]), F.try_to_date(s, v.MONTH_FIRST[1]))
+    # Two-digit years above 68 belong to the last century.
+    century = F.transform(
+        F.array(F.coalesce(*tried), month_first),
+        lambda d: F.when((F.year(d) > 2068) & s.rlike(r"\D\d{2}$"), F.add_months(d, -1200)).otherwise(d),
+    )
+    low, high = F.lit(dt.date(1990, 1, 1)), F.lit(as_of + dt.timedelta(days=1))
+    return F.try_element_at(F.filter(century, lambda d: (d >= low) & (d <= high)), F.lit(1))
 
 
 def parsed_date(c: Column) -> Column:

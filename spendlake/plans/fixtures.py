@@ -133,6 +133,61 @@ SELECT txn_id, user_id, amount, transaction_type, description, transaction_date
 UNION ALL
 SELECT txn_id + 10000000, user_id, amount, transaction_type, description, transaction_date
 FROM {transactions} WHERE txn_id % 10 = 0
+""",
+    # Delimited files of 100 rows: a title, a blank line, a header (six formats), then rows.
+    "csv_lines": """
+SELECT concat('file', CAST(f AS STRING)) AS file, n AS line_no, line FROM (
+ SELECT DISTINCT f, 0 AS n, CASE CAST(f % 4 AS INT) WHEN 0 THEN 'HDFC BANK statement' WHEN 1 THEN 'State Bank of India' WHEN 2 THEN 'PhonePe history' ELSE 'My export' END AS line
+ FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) a
+ UNION ALL SELECT DISTINCT f, 1, '' FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) b
+ UNION ALL SELECT DISTINCT f, 2, CASE CAST(f % 6 AS INT) WHEN 0 THEN 'Date,Description,Amount,Type,Balance' WHEN 1 THEN 'Date;Narration;Withdrawal Amt.;Deposit Amt.;Closing Balance'
+   WHEN 2 THEN concat_ws(chr(9), 'Date', 'Description', 'Amount', 'Dr / Cr', 'Balance') WHEN 3 THEN 'Txn Dt|Particulars of txn|Debit Amt|Credit Amt|Bal'
+   WHEN 4 THEN 'Date,Payee Name,Amount,Transaction Type,UTR' ELSE 'Value Date,Transaction Remarks,Withdrawal Amount (INR ),Deposit Amount (INR ),Balance (INR )' END
+ FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) c
+ UNION ALL SELECT f, 3 + k % 100, CASE CAST(f % 6 AS INT) WHEN 0 THEN concat_ws(',', d, s, m, CASE WHEN k % 3 = 0 THEN 'CR' ELSE 'DR' END, '5000.00')
+   WHEN 1 THEN concat_ws(';', d, s, CASE WHEN k % 3 = 0 THEN '' ELSE m END, CASE WHEN k % 3 = 0 THEN m ELSE '' END, '5000.00')
+   WHEN 2 THEN concat_ws(chr(9), d, s, m, CASE WHEN k % 3 = 0 THEN 'CR' ELSE 'DR' END, '5000.00')
+   WHEN 3 THEN concat_ws('|', d, s, CASE WHEN k % 3 = 0 THEN '' ELSE m END, CASE WHEN k % 3 = 0 THEN m ELSE '' END, '5000.00')
+   WHEN 4 THEN concat_ws(',', d, s, m, CASE WHEN k % 3 = 0 THEN 'CREDIT' ELSE 'DEBIT' END, CASE WHEN k % 5 = 0 THEN '' ELSE concat('UTR', CAST(k AS STRING)) END)
+   ELSE concat_ws(',', d, s, CASE WHEN k % 3 = 0 THEN '' ELSE m END, CASE WHEN k % 3 = 0 THEN m ELSE '' END, '5000.00') END
+ FROM (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS m,
+   CASE WHEN o_orderkey % 50 = 7 THEN 'n/a' ELSE concat(lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0'), '/', lpad(CAST(1 + o_orderkey % 6 AS STRING), 2, '0'), '/2000') END AS d,
+   CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'REFUND FROM AMAZON' WHEN 1 THEN concat('NEFT-N', CAST(o_orderkey AS STRING), ' RENT') ELSE 'ATM WDL' END AS s FROM {orders}) r
+) x
+""",
+    # Statement text of 100 rows per file: a bank line, then lines in that bank's layout.
+    "text_lines": """
+SELECT concat('stmt', CAST(f AS STRING)) AS file, n AS line_no, line FROM (
+ SELECT DISTINCT f, 0 AS n, CASE CAST(f % 7 AS INT) WHEN 0 THEN 'HDFC BANK LTD' WHEN 1 THEN 'STATE BANK OF INDIA' WHEN 2 THEN 'ICICI BANK' WHEN 3 THEN 'Axis Bank'
+   WHEN 4 THEN 'KOTAK MAHINDRA BANK' WHEN 5 THEN 'Village cooperative' ELSE 'ICICI BANK paid via GPay' END AS line
+ FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) a
+ UNION ALL SELECT f, 1 + k % 100, CASE WHEN k % 11 = 5 THEN concat('Page ', CAST(k AS STRING)) ELSE CASE CAST(f % 7 AS INT)
+   WHEN 0 THEN CASE WHEN k % 2 = 0 THEN concat(d, '  ', s, '  ', CAST(100000 + k AS STRING), '  ', d, '  ', m, '  45,000.00') ELSE concat(d, '  ', s, '  ', m, '  DR  45,000.00') END
+   WHEN 1 THEN CASE WHEN k % 2 = 0 THEN concat(e, ' ', e, '  ', s, '  ', CAST(100000 + k AS STRING), '  ', m, '    45000.00') ELSE concat(d, '  ', s, '  ', m, ' CR 45000.00') END
+   WHEN 2 THEN concat(CAST(1 + k % 100 AS STRING), '  ', d, '  ', d, '  --  ', s, '  ', m, '    45,000.00')
+   WHEN 3 THEN concat(g, '  ', CAST(k AS STRING), '  ', s, '  ', m, '    45000.00')
+   WHEN 4 THEN concat(d, ' ', s, ' ', m, CASE WHEN k % 3 = 0 THEN ' CR ' ELSE ' DR ' END, '45000.00')
+   ELSE CASE WHEN k % 3 = 0 THEN concat(d, ' ', s, ' ', m, ' CR 45000.00') WHEN k % 3 = 1 THEN concat(e, ' ', s, ' ', m, ' DR 45000.00') ELSE concat(d, ' ', s, ' ', m) END END END
+ FROM (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS m,
+   concat(lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0'), '/', lpad(CAST(1 + o_orderkey % 6 AS STRING), 2, '0'), '/2000') AS d,
+   concat(lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0'), ' Jan 2000') AS e, concat(lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0'), '-Feb-2000') AS g,
+   CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'REFUND FROM AMAZON' WHEN 1 THEN concat('NEFT-N', CAST(o_orderkey AS STRING), ' RENT') ELSE 'ATM WDL' END AS s FROM {orders}) r
+) x
+""",
+    # Spreadsheet cells: a bank cell, a header row, then four columns per row.
+    "sheet_cells": """
+SELECT concat('book', CAST(f AS STRING)) AS file, 'Sheet1' AS sheet, r AS row, c AS col, v AS value FROM (
+ SELECT DISTINCT f, 1 AS r, 1 AS c, CASE CAST(f % 3 AS INT) WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'Statement of SBI' ELSE 'Export' END AS v FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) a
+ UNION ALL SELECT DISTINCT f, 3, 1, 'Txn Date' FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) b
+ UNION ALL SELECT DISTINCT f, 3, 2, 'Narration' FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) c
+ UNION ALL SELECT DISTINCT f, 3, 3, CASE WHEN f % 2 = 0 THEN 'Withdrawal Amt' ELSE 'Amount' END FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) d
+ UNION ALL SELECT DISTINCT f, 3, 4, CASE WHEN f % 2 = 0 THEN 'Deposit Amt' ELSE 'Cr/Dr' END FROM (SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT) AS f FROM {orders}) e
+ UNION ALL SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT), 4 + o_orderkey % 100, 1, concat('2000-', lpad(CAST(1 + o_orderkey % 12 AS STRING), 2, '0'), '-', lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0')) FROM {orders} g
+ UNION ALL SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT), 4 + o_orderkey % 100, 2, concat('POS  shop ', CAST(o_orderkey AS STRING)) FROM {orders} h
+ UNION ALL SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT), 4 + o_orderkey % 100, 3, CASE WHEN floor(o_orderkey / 100.0) % 2 = 0 AND o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) END FROM {orders} i
+ UNION ALL SELECT CAST(floor(o_orderkey / 100.0) AS BIGINT), 4 + o_orderkey % 100, 4, CASE WHEN floor(o_orderkey / 100.0) % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) END
+   ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'CR' WHEN o_orderkey % 3 = 1 THEN 'DR' END END FROM {orders} j
+) x
 """,
 }
 
