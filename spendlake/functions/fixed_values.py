@@ -12,6 +12,7 @@ DATE_LAYOUTS = [
     (r"^\d{8}$", "ddMMyyyy"),
     (r"^\w{3}\s+\d{1,2},\s+\d{4}$", "MMM d, yyyy"),
     (r"^\w+\s+\d{1,2},\s+\d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
 ]
 MONTH_FIRST = (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy")
 

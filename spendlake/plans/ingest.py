@@ -558,8 +558,11 @@ def _(i: Inputs):
 
     parsed = dl.parse_lines(i.csv_lines, AS_OF)
     rows = dl.to_stored(parsed, F.lit(7).cast("bigint"), F.col("file"), store.source_of(F.lit(".csv")))
-    named = extract_merchant(rows, "txn_id", i.merchant_keywords).withColumn("merchant_name", F.coalesce("merchant", "description")).drop("merchant")
-    return auto_categorize(named, i.categories, i.merchant_keywords, _upi_patterns(i))
+    # Parsing is done once; the categorisation stages read the staged rows.
+    staged = store.stage(rows, scratch(i, "upload"))
+    named = extract_merchant(staged, "txn_id", i.merchant_keywords).withColumn("merchant_name", F.coalesce("merchant", "description")).drop("merchant")
+    named = store.stage(named, scratch(i, "named"))
+    return auto_categorize(named, i.categories, i.merchant_keywords, _upi_patterns(i), retrieval=False)
 
 
 @query("D9_preview_import", "txn_id bigint, is_duplicate boolean, category_id bigint", """

@@ -306,9 +306,23 @@ def fields_to_transaction(rows: DataFrame, as_of: dt.date, typed_words: bool = T
     )
 
 
+HEAD_LINES = 40
+
+
+def head_of_files(lines: DataFrame) -> DataFrame:
+    """The first lines of every file, gathered by one shuffle.
+
+    All facts about a file are derived from this; Spark reuses the exchange, so
+    the files are read once for their facts and once for their rows.
+    """
+    head = lines.filter(F.col("line_no") < HEAD_LINES).groupBy("file").agg(F.collect_list(F.struct("line_no", "line")).alias("h"))
+    return head.select("file", F.inline("h"))
+
+
 def parse_lines(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """All transactions of all delimited files."""
-    headers = header_cells(lines, find_headers(lines, detect_delimiters(lines)))
+    head = head_of_files(lines)
+    headers = header_cells(head, find_headers(head, detect_delimiters(head)))
     return fields_to_transaction(data_rows(lines, headers, map_columns(headers)), as_of)
 
 
@@ -318,8 +332,8 @@ def parse_with_config(lines: DataFrame, config: dict[str, str], as_of: dt.date)
     The first line is the header. An unknown column is a warning; a missing
     date column is an error and the file gives no rows.
     """
-    first = detect_delimiters(lines).withColumn("header_row", F.lit(0))
-    headers = header_cells(lines, first)
+    head = head_of_files(lines)
+    headers = header_cells(head, detect_delimiters(head).withColumn("header_row", F.lit(0)))
     wanted = {f: config.get(f) for f in FIELDS}
     columns = headers.select(
         "file",

@@ -46,6 +46,12 @@ def append_transactions(rows: DataFrame, path: str) -> None:
     with_month.write.mode("append").partitionBy("txn_month").parquet(path)
 
 
+def stage(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows to a new shared folder and read them back, cutting the lineage."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def apply_updates(txns: DataFrame, changes: DataFrame, now: dt.datetime, keys: tuple[str, ...] = ("txn_id",)) -> DataFrame:
     """Apply a change table: only its non-null fields are set.
 
