@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.functions import fixed_values as v
-from spendlake.functions.rules import case_of
+from spendlake.functions.rules import any_contains, any_of, case_of
 from spendlake.functions.text import squeeze
 
 # Python's re stops '.' at a line feed only; (?d) gives Java the same rule.
@@ -73,16 +73,41 @@ def sanitize_phone(c: Column) -> Column:
 # --- suspicious text -----------------------------------------------------------------
 
 
-def _any(patterns: list[str]) -> str:
-    return FLAGS + "|".join(f"(?:{p})" for p in patterns)
+def _needed(pattern: str) -> str:
+    """A literal every match of the pattern contains ('' when there is none)."""
+    if pattern.startswith("<"):
+        return "<"
+    if pattern.endswith(":"):
+        return ":"
+    if pattern.rstrip(")").endswith("\\("):
+        return "("
+    if "=" in pattern:
+        return "="
+    return "&{" if pattern == "&\\{" else ""
+
+
+def _search(c: Column, patterns: list[str]) -> Column:
+    """Whether any pattern is found; patterns that need a literal wait for it.
+
+    A literal test is far cheaper than a case-insensitive regex on a long text.
+    """
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        groups.setdefault(_needed(p), []).append(p)
+    tests = []
+    for literal, ps in sorted(groups.items(), key=lambda g: g[0] == ""):
+        hit = c.rlike(FLAGS + "|".join(f"(?:{p})" for p in ps))
+        tests.append(c.contains(literal) & hit if literal else hit)
+    return any_of(tests)
 
 
 def has_sql_injection(c: Column) -> Column:
-    return c.rlike(_any(v.SQL_INJECTION_PATTERNS))
+    marks = any_contains(c, ["--", ";", "/*", "*/", "@"])
+    return marks | _search(c, [p for p in v.SQL_INJECTION_PATTERNS if p != v.SQL_INJECTION_PATTERNS[1]])
 
 
 def has_markup(c: Column) -> Column:
-    return c.rlike(_any(v.MARKUP_PATTERNS))
+    return _search(c, v.MARKUP_PATTERNS)
 
 
 def _first_match(c: Column, patterns: list[str]) -> Column:

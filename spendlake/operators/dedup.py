@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -91,18 +91,17 @@ def near_duplicates(
     return found.select("txn_id", first.alias("duplicate_of")).filter("duplicate_of IS NOT NULL")
 
 
-def _greedy(rows: pd.DataFrame, kept: list[tuple], threshold: float, cents: int) -> list[bool]:
-    """Keep a row unless it is like an already kept one; ``kept`` grows."""
-    flags = []
-    for c, desc, ref in zip(rows["_cents"], rows["_desc"], rows["_ref"]):
-        dup = any(
-            abs(c - kc) <= cents and ((ref and ref == kr) or SequenceMatcher(None, desc, kd).ratio() > threshold)
-            for kc, kd, kr in kept
-        )
-        if not dup:
-            kept.append((c, desc, ref))
-        flags.append(not dup)
-    return flags
+def _keep(c: int, desc: str, ref: str, kept_rows: list[tuple], threshold: float, cents: int) -> bool:
+    """Whether a row is unlike all kept rows; if so it joins them."""
+    for kc, kd, kr in kept_rows:
+        if abs(c - kc) <= cents and ((ref and ref == kr) or SequenceMatcher(None, desc, kd).ratio() > threshold):
+            return False
+    kept_rows.append((c, desc, ref))
+    return True
+
+
+def _greedy(rows: pd.DataFrame, kept_rows: list[tuple], threshold: float, cents: int) -> list[bool]:
+    return [_keep(c, d, r, kept_rows, threshold, cents) for c, d, r in zip(rows["_cents"], rows["_desc"], rows["_ref"])]
 
 
 def remove_duplicates(
@@ -142,11 +141,19 @@ def remove_duplicates(
     small = sized.filter((F.col("_n") > 1) & (F.col("_n") <= max_chunk))
     flag_schema = "_rep bigint, is_kept boolean"
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rep")
-        return pd.DataFrame({"_rep": pdf["_rep"], "is_kept": _greedy(pdf, [], threshold, cents)})
-
-    decided = alone.unionByName(small.groupBy("_block").applyInPandas(decide, flag_schema))
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by block and order: the kept rows live for one block.
+        block, kept_rows = None, []
+        for pdf in batches:
+            flags = []
+            for b, c, desc, ref in zip(pdf["_block"], pdf["_cents"], pdf["_desc"], pdf["_ref"]):
+                if b != block:
+                    block, kept_rows = b, []
+                flags.append(_keep(c, desc, ref, kept_rows, threshold, cents))
+            yield pd.DataFrame({"_rep": pdf["_rep"], "is_kept": flags})
+
+    in_order = small.repartition("_block").sortWithinPartitions("_block", "_rep")
+    decided = alone.unionByName(in_order.mapInPandas(decide, flag_schema))
     large = sized.filter(F.col("_n") > max_chunk).drop("_n")
     total = large.count()
     if total:

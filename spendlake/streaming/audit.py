@@ -7,7 +7,7 @@ next bucket, so a bucket holds everything a look-back of one width can see.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -217,9 +217,23 @@ def lockout_audit(events: DataFrame, policy: LockoutPolicy = LockoutPolicy(), ma
     # A session without failures needs no replay.
     calm = sized.filter("_bad = 0").select("event_id", "user_id", F.lit("ok").alias("outcome"), F.lit(0).alias("failed_attempts"))
     busy = sized.filter("_bad = 1")
-    small = busy.filter(F.col("_n") <= max_session).groupBy("user_id", "session").applyInPandas(
-        lambda pdf: _replay(pdf, FRESH, policy)[0], OUTCOME
-    )
+    keys = ["user_id", "session"]
+
+    def replay_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by session and time: the state lives for one session.
+        current, state = None, FRESH
+        for pdf in batches:
+            outcomes, counts = [], []
+            for user, session, us, success in zip(pdf["user_id"], pdf["session"], pdf["us"], pdf["success"]):
+                if (user, session) != current:
+                    current, state = (user, session), FRESH
+                state, outcome = advance(state, int(us), bool(success), policy)
+                outcomes.append(outcome)
+                counts.append(state[0])
+            yield pdf[["event_id", "user_id"]].assign(outcome=outcomes, failed_attempts=pd.Series(counts, index=pdf.index, dtype="int32"))
+
+    ordered = busy.filter(F.col("_n") <= max_session).repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
+    small = ordered.mapInPandas(replay_all, OUTCOME)
     done = calm.unionByName(small)
     large = busy.filter(F.col("_n") > max_session).drop("_n", "_bad")
     total = large.count()
