@@ -182,7 +182,7 @@ def _decide_large(large: DataFrame, total: int, threshold: float, cents: int, ma
         return pdf.assign(is_kept=_greedy(pdf, [], threshold, cents))[columns]
 
     def survivors(_key: tuple, later: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        base = list(zip(kept["_cents"], kept["_desc"], kept["_ref"]))
+        base = list(zip(kept["k_cents"], kept["k_desc"], kept["k_ref"]))
         free = [_greedy(later.iloc[[k]], list(base), threshold, cents)[0] for k in range(len(later))]
         return later.assign(is_kept=free)
 
@@ -192,11 +192,12 @@ def _decide_large(large: DataFrame, total: int, threshold: float, cents: int, ma
         flags = now.select("_rep", "is_kept")
         if k < rounds:
             later = pending.filter(F.col("_chunk") > k)
-            targets = later.select("_block", "_chunk").distinct()
-            spread = now.filter("is_kept").drop("is_kept").join(targets, "_block")
+            targets = later.select(F.col("_block").alias("k_block"), F.col("_chunk").alias("k_chunk")).distinct()
+            kept_now = now.filter("is_kept").select(F.col("_block").alias("k_block"), *[F.col(c).alias(f"k{c}") for c in ("_cents", "_desc", "_ref")])
+            spread = kept_now.join(targets, "k_block")
             tested = checkpointed(
                 later.groupBy("_block", "_chunk")
-                .cogroup(spread.groupBy("_block", "_chunk"))
+                .cogroup(spread.groupBy("k_block", "k_chunk"))
                 .applyInPandas(survivors, T.StructType(later.schema.fields + [T.StructField("is_kept", T.BooleanType())]))
             )
             flags = flags.unionByName(tested.filter("NOT is_kept").select("_rep", "is_kept"))

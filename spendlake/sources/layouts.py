@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions import text as x
@@ -226,13 +226,13 @@ def layout_of(bank: Column) -> Column:
 def parse_statements(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Route every file to its bank's layout; a file without rows is read as generic."""
     routed = lines.join(detect_banks(lines), "file").withColumn("layout", layout_of(F.col("bank")))
-    rows = _with_rows(routed, F.col("layout"), as_of).filter("t IS NOT NULL")
-    hit = rows.select("file").distinct()
-    # Files read as generic already are not tried again.
-    others = routed.filter("layout <> 'generic'").join(hit, "file", "left_anti")
-    second = _with_rows(others, "generic", as_of).filter("t IS NOT NULL")
-    both = rows.unionByName(second).select("file", "line_no", "bank", "t.*")
-    return both.withColumn("category", x.description_class(F.col("description")))
+    own = _with_rows(routed, F.col("layout"), as_of).withColumnRenamed("t", "own")
+    # A file is bounded by the size limit, so it may be looked at as one group.
+    any_row = F.max(F.col("own").isNotNull()).over(Window.partitionBy("file"))
+    retry = ~F.col("_any") & (F.col("layout") != "generic")
+    second = _with_rows(own.withColumn("_any", any_row).withColumn("line", F.when(retry, F.col("line"))), "generic", as_of)
+    rows = second.withColumn("t", F.coalesce("own", "t")).filter("t IS NOT NULL").select("file", "line_no", "bank", "t.*")
+    return rows.withColumn("category", x.description_class(F.col("description")))
 
 
 def statement_facts(texts: DataFrame, as_of: dt.date) -> DataFrame:
