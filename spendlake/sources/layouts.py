@@ -16,8 +16,6 @@ from spendlake.functions import text as x
 from spendlake.functions.rules import any_contains, case_of, first_group, found
 from spendlake.operators.ranking import first_per_key
 
-NUMBER = r"[\d,]+\.?\d*"
-
 # Line patterns of each layout (matched from the start of the line).
 HDFC = [
     r"^(\d{2}[/-]\d{2}[/-]\d{2,4})\s+(.+?)\s+(\d+)\s+\d{2}[/-]\d{2}[/-]\d{2,4}\s+([\d,]+\.?\d*)?\s*([\d,]+\.?\d*)?\s+([\d,]+\.?\d*)",
