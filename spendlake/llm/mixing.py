@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.shared import text_key, without
+from spendlake.llm.shared import stored, text_key, without
 
 TEMPERATURE = 0.7
 SEED = 17
@@ -70,11 +70,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     A null doc_id hashes as the empty text; rows that repeat a doc_id get the same number of copies.
     Null and empty texts weigh one byte. An empty table gives an empty result. Columns of ``docs``
     named as a result column are replaced. A hot source is no hot key: the rates are joined as a
-    table of one row per source, which Spark broadcasts by its size or joins with skew splitting.
+    written table of one row per source, which Spark broadcasts if its size allows or else joins with skew splitting.
     """
     results = ("rate", "n_copies", "copy", "shuffle_key")
     docs = without(docs, *results)
-    tables = poisson_tables(source_rates(docs, weights, temperature, epochs)).select(F.col("source").alias("__of"), "rate", "cdf")
+    tables = stored(poisson_tables(source_rates(docs, weights, temperature, epochs)), "rates").select(F.col("source").alias("__of"), "rate", "cdf")
     out = docs.join(tables, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
     u = uniform(text_key("doc_id"), seed=seed)
     out = out.withColumn("__u", u).withColumn("n_copies", F.expr("size(filter(cdf, c -> c < __u))")).where("n_copies > 0")
