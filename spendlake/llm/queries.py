@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import mixing, ring, token_files
+from spendlake.llm import decontaminate, language, mixing, ring, token_files
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,29 @@ ORACLES["op3_source_mixing"] = mixing_sql(
 )
 
 
+def crc_of_id() -> F.Column:
+    """crc32 of doc_id as text, by which rows are held out; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+@query
+def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id() % 3 == 1)
+    model = language.train(docs.where("NOT held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
+    found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
+    found = found.withColumn("ids", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))))
+    return found.select(
+        "doc_id", "n_words", decontaminate.words_hit().alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.write_shards(table(spark, sf_dir, "documents"), scratch(spark, "shards"), SHARDS)
