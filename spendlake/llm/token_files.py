@@ -34,9 +34,9 @@ TRAILER = struct.Struct("<QQQII8s")
 BLOCK = 8192
 END_ID = 2
 #: Bytes of text that are encoded together.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Pieces that a Python worker remembers before it starts anew.
-CACHE = 2_500_000
+CACHE = 500_000
 
 
 def width(vocabulary: int) -> int:
