@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, language, mixing, ring, token_files
+from spendlake.llm import decontaminate, language, mixing, ring, simhash, token_files, warc
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,36 @@ def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read(spark, path))
+    revisit = F.col("response.record_type") == "revisit"
+    return captures.select(
+        F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"),
+        F.when(revisit, F.regexp_extract("response.http_headers", r"Content-Length: (\d+)", 1)).otherwise(F.octet_length("response.payload")).cast("bigint").alias("payload_bytes"),
+        F.when(revisit, F.substring_index("response.payload_digest", ":", -1)).otherwise(F.sha2("response.payload", 256)).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("metadata.fields")["refers-to-page-id"].cast("bigint").alias("refers_to"),
+    )
+
+
+ORACLES["op8_warc_captures"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest AS of, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f ON payload_digest = of AND payload_bytes >= 100"""
+
+
 @query
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
