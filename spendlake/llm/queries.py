@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, language, mixing, ring, simhash, token_files, warc
+from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, token_files, warc
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ ORACLES["op3_source_mixing"] = mixing_sql(
 )
 
 
+@query
+def op4_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def crc_of_id() -> F.Column:
     """crc32 of doc_id as text, by which rows are held out; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
