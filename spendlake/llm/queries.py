@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, token_files, warc
+from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, suffix_tree, token_files, warc
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,13 @@ def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id() % 10 == 0).alias("held_out"))
+    model, rare = suffix_tree.train(docs.where("NOT held_out"))
+    return suffix_tree.score(docs, model, rare).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
