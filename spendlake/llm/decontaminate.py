@@ -218,6 +218,11 @@ def words_hit() -> F.Column:
     )
 
 
+def items_hit() -> F.Column:
+    """The distinct ids of ``hits`` in their order as text."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item_id"]))))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs; all columns stay, rows with null texts too."""
     index = build_index(docs, scratch(docs.sparkSession, "postings"))

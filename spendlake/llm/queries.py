@@ -133,7 +133,7 @@ FROM d LEFT JOIN f ON payload_digest = of AND payload_bytes >= 100"""
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
     found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
-    found = found.withColumn("ids", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))))
+    found = found.withColumn("ids", decontaminate.items_hit())
     return found.select(
         "doc_id", "n_words", decontaminate.words_hit().alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),

@@ -181,6 +181,8 @@ class Encoder:
             texts = [raw[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         bounds = self._bounds(data, offsets)
         hashed = hashes(data, bounds[:-1], bounds[1:])
         codes, unique = pd.factorize(hashed)
