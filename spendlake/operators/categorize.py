@@ -87,20 +87,19 @@ def extract_merchant(txns: DataFrame, key: str, keywords: DataFrame) -> DataFram
 
 def infer_from_text(text: Column) -> Column:
     """Category from taxonomy words: a sub-category name, else most keywords."""
-    rows = dim._rows(dim.TAXONOMY)
     low = F.lower(text)
     subs = F.array(*[
-        F.struct(F.lit(c[0]).alias("category"), F.lit(s).alias("subcategory")) for c in rows for s in dim._items(c[5])
+        F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory")) for c, subs in dim.SUBCATEGORIES.items() for s in subs
     ])
     hit = F.try_element_at(F.filter(subs, lambda s: low.contains(F.lower(s["subcategory"]))), F.lit(1))
     scored = F.array(*[
         F.struct(
-            F.size(F.filter(F.array(*[F.lit(w) for w in dim._items(c[4])]), lambda w: low.contains(w))).alias("n"),
+            F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))).alias("n"),
             F.lit(-k).alias("o"),
-            F.lit(c[0]).alias("category"),
-            F.lit(dim._items(c[5])[0]).alias("subcategory"),
+            F.lit(c).alias("category"),
+            F.lit(dim.SUBCATEGORIES[c][0]).alias("subcategory"),
         )
-        for k, c in enumerate(rows)
+        for k, (c, words) in enumerate(dim.CATEGORY_KEYWORDS.items())
     ])
     best = F.array_max(scored)
     by_words = F.when(

@@ -194,9 +194,8 @@ def _(i: Inputs):
     return c.retrieval_candidates(_plain(i), "txn_id", "query", i.merchant_keywords)
 
 
-TAXONOMY = dim._rows(dim.TAXONOMY)
-SUB_ROWS = ", ".join(f"({k * 100 + n}, {lit(r[0])}, {lit(s)})" for k, r in enumerate(TAXONOMY) for n, s in enumerate(dim._items(r[5])))
-WORD_ROWS = ", ".join(f"({k}, {lit(r[0])}, {lit(dim._items(r[5])[0])}, {lit(w)})" for k, r in enumerate(TAXONOMY) for w in dim._items(r[4]))
+SUB_ROWS = ", ".join(f"({k * 100 + n}, {lit(c)}, {lit(s)})" for k, (c, subs) in enumerate(dim.SUBCATEGORIES.items()) for n, s in enumerate(subs))
+WORD_ROWS = ", ".join(f"({k}, {lit(c)}, {lit(dim.SUBCATEGORIES[c][0])}, {lit(w)})" for k, (c, words) in enumerate(dim.CATEGORY_KEYWORDS.items()) for w in words)
 
 
 @query("J17_infer_from_text", "conv_id bigint, turn bigint, category string, subcategory string, confidence double", f"""
