@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from spendlake.llm.scan import LOWER, buffers, pieces
 from spendlake.llm.shared import text_key, without
@@ -152,14 +153,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = without(docs, "lang_pred", "score")
     model = docs.sparkSession.sparkContext.broadcast(model)  # 2**SLOT_BITS masks, whatever the input
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
-            lang, score = model.value.decide(data, offsets)
-            langs += lang
-            scores.append(score)
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate([*scores, np.zeros(0)])})
-
-    out = docs.withColumn("__p", predict("text"))
-    return out.withColumn("lang_pred", F.col("__p.lang_pred")).withColumn("score", F.col("__p.score")).drop("__p")
+    place = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in pieces(*buffers(batch.column(place))):
+                lang, score = model.value.decide(data, offsets)
+                own = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*own.schema.names, "lang_pred", "score"])
+
+    # not a UDF column: a filter on it would be evaluated apart from the column, that is twice
+    return docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

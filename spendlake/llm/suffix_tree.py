@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
 from spendlake.llm.shared import stored, without
 
-DEPTH = 6
+DEPTH = 5
 MIN_SHARE = 1e-7
 #: A state's distribution differs from its parent's by so many nats at least.
 DIVERGENCE = 0.005
 #: A word of this share of all is looked up in the tasks, so there are at most 1 / FREQUENT such words.
 FREQUENT = 5e-7
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Different keys that a task counts before it passes them on.
 HELD = 1 << 20
 END = 0x0A
@@ -61,19 +61,23 @@ def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def contexts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each byte an integer of it (lowest) and the DEPTH bytes before, nearest first; END stands before a text."""
-    wide = np.concatenate([text[::-1], np.zeros(8, np.uint8)])
-    keys = np.lib.stride_tricks.as_strided(wide.view(), (len(text), 8), (1, 1)).copy().view("<u8")[::-1, 0] & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
+    """For each byte an integer of the DEPTH bytes before it, the nearest in front, and the byte itself; END stands before a text."""
+    wide = np.concatenate([np.full(DEPTH, END, np.uint8), text, np.zeros(8, np.uint8)])
+    keys = np.lib.stride_tricks.as_strided(wide, (len(text), 8), (1, 1)).copy().view("<u8")[:, 0]
+    before = keys & np.uint64((1 << 8 * DEPTH) - 1)
+    keys = (before << np.uint64(8) | keys >> np.uint64(8 * DEPTH) & np.uint64(255)).astype(np.int64)
     sizes = np.diff(bounds)
     for j in range(DEPTH):
         at = bounds[:-1][sizes > j] + j
-        filling = sum(END << 8 * k for k in range(j + 1, DEPTH + 1))
-        keys[at] = keys[at] & np.uint64((1 << 8 * (j + 1)) - 1) | np.uint64(filling)
-    return keys.astype(np.int64)
+        low = 8 * (DEPTH - j)  # the bits of the contexts that lie before the text
+        filling = sum(END << 8 * k for k in range(DEPTH - j))
+        keys[at] = (keys[at] >> 8 >> low << low | filling) << 8 | keys[at] & 255
+    return keys
 
 
-def level_mask(k: int) -> int:
-    return (1 << 8 * (k + 1)) - 1
+def shorter(keys: np.ndarray, by: int = 1) -> np.ndarray:
+    """The keys with ``by`` of the farthest bytes of their contexts left out."""
+    return keys >> 8 >> 8 * by << 8 | keys & 255
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +116,8 @@ def count(training: DataFrame) -> DataFrame:
     def grams(counter: Counter) -> Iterator[pa.RecordBatch]:
         keys, n = counter.empty()
         for k in range(DEPTH, -1, -1):
-            keys, n = _summed([keys & level_mask(k)], [n])
             yield rows(k, keys, n)
+            keys, n = _summed([shorter(keys)], [n])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_bytes, texts = Counter(), Counter(), 0
@@ -164,21 +168,21 @@ class Tree:
         keep = [np.ones(len(stats[0][2]), bool)] if stats else []
         for k in range(1, len(stats)):
             keys, n, context, at, total, different, _ = stats[k]
-            parent, _ = _find(stats[k - 1][0], keys & level_mask(k - 1))
+            parent, _ = _find(stats[k - 1][0], shorter(keys))
             of = stats[k - 1][3][parent]
             gain = n * np.log((n / total[at]) / (stats[k - 1][1][parent] / stats[k - 1][4][of]))
             gain = np.bincount(at, gain, len(context))
             free = np.maximum(different - 1, 1)
             keep.append((gain >= divergence * total) & (2 * gain >= free + 4 * np.sqrt(2 * free)))
         for k in range(len(stats) - 1, 1, -1):  # the suffixes of a state are states
-            parent, found = _find(stats[k - 1][2], stats[k][2][keep[k]] & (level_mask(k - 1) >> 8))
+            parent, found = _find(stats[k - 1][2], stats[k][2][keep[k]] >> 8)
             keep[k - 1][parent[found]] = True
         above = None
         for k, (keys, n, context, at, total, different, left) in enumerate(stats):
             if k == 0:
                 base = np.full(len(keys), 1 / 256)
             else:
-                parent, found = _find(self.levels[k - 1].keys, keys & level_mask(k - 1))
+                parent, found = _find(self.levels[k - 1].keys, shorter(keys))
                 base = np.where(found, above[parent] if len(above) else 0, 0)
             probability = (n + left[at] * base) / (total + different)[at]
             stays = keep[k][at]
@@ -186,15 +190,26 @@ class Tree:
             self.levels.append(Level(context[keep[k]], np.log10(left / (total + different))[keep[k]], keys[stays], np.log10(above)))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each byte after its context."""
-        out = np.full(len(keys), -np.log10(256.0))
-        active = np.arange(len(keys))
-        for k, level in enumerate(self.levels):
-            own = keys[active] & level_mask(k)
-            state, there = _find(level.states, own >> 8)
-            active, own, state = active[there], own[there], state[there]
+        """log10 of the probability of each byte after its context; ``keys`` are ascending."""
+        depth, active = np.zeros(len(keys), np.int8), np.arange(len(keys))
+        for k, level in enumerate(self.levels[1:], 1):  # ascending keys of one context stand together
+            context = keys[active] >> 8 >> 8 * (DEPTH - k)
+            first = np.flatnonzero(np.diff(context, prepend=-1))
+            _, found = _find(level.states, context[first])
+            active = active[np.repeat(found, np.diff(first, append=len(active)))]
+            depth[active] = k
+        out, left = np.zeros(len(keys)), np.arange(len(keys))
+        for k in range(len(self.levels) - 1, -1, -1):
+            level, here = self.levels[k], depth[left] >= k
+            own = shorter(keys[left[here]], DEPTH - k)
             entry, seen = _find(level.keys, own)
-            out[active] = np.where(seen, level.log[entry] if len(level.log) else 0, out[active] + level.left[state])
+            if len(level.log):
+                out[left[here]] += np.where(seen, level.log[entry], 0)
+            state, there = _find(level.states, own[~seen] >> 8)
+            if len(level.left):
+                out[left[here][~seen]] += np.where(there, level.left[state], 0)
+            left = np.concatenate([left[~here], left[here][~seen]])
+        out[left] -= np.log10(256.0)
         return out
 
 
@@ -254,7 +269,10 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
             for first, end, data, offsets in pieces(*buffers(batch.column(0)), PIECE):
                 text, bounds, hashed, before = sequence(data, offsets)
                 codes, unique = pd.factorize(contexts(text, bounds))
-                total = np.add.reduceat(of.tree.score(unique)[codes], bounds[:-1])
+                order = np.argsort(unique)
+                log = np.empty(len(unique))
+                log[order] = of.tree.score(unique[order])
+                total = np.add.reduceat(log[codes], bounds[:-1])
                 at, known = _find(of.words, np.append(hashed.view(np.int64), END_KEY))
                 c = np.where(known, of.counts[at] if len(of.counts) else 0, 0)
                 upto = np.concatenate([[0], np.cumsum(known[:-1])])
