@@ -228,8 +228,8 @@ def test_tree_is_a_distribution(documents):
     tree = model.tree
     assert all(len(level.states) for level in tree.levels[:4])
     for context in ("", "th", " the", "zzzzzz", "e o", "\n\n\n"):
-        bytes_before = sum(b << 8 * k for k, b in enumerate(reversed(context.encode()), 1))
-        assert math.isclose((10 ** tree.score(np.arange(256) + bytes_before)).sum(), 1, rel_tol=1e-9)
+        before = int.from_bytes((b"\n" * suffix_tree.DEPTH + context.encode())[-suffix_tree.DEPTH :][::-1], "big")
+        assert math.isclose((10 ** tree.score(np.arange(256) + (before << 8))).sum(), 1, rel_tol=1e-9)
 
 
 def test_tree_beats_unigrams_on_held_out(spark):
@@ -259,7 +259,7 @@ def test_sequences_and_contexts(texts):
         assert before[k + 1] - before[k] == len(words)
         padded = b"\n" * suffix_tree.DEPTH + want
         for i, key in enumerate(keys[bounds[k] : bounds[k + 1]].tolist()):
-            assert key.to_bytes(8, "little")[: suffix_tree.DEPTH + 1] == padded[i : i + suffix_tree.DEPTH + 1][::-1]
+            assert key.to_bytes(suffix_tree.DEPTH + 1, "big") == padded[i : i + suffix_tree.DEPTH][::-1] + want[i : i + 1]
 
 
 # 7 SimHash
