@@ -22,7 +22,7 @@ HEADLINE = [
     "A8_monthly_comparison", "A10_top_merchants", "A11_budget_status", "A13_category_change", "A14_category_analysis", "A20_recurring_patterns",
     "A23_benchmark_comparison", "A24_current_insights", "A30_forecast", "A31_anomalies", "C1_clean_amount", "C10_normalize",
     "C25_suspicious_text", "D2_peer_benchmark", "D4_recurring_transactions", "J9_contained_keywords", "J11_fuzzy_keywords",
-    "J15_near_duplicates", "K1_deep_rank", "K1_page", "M7_categorize", "S7_rows_to_transactions",
+    "J15_near_duplicates", "J16_tfidf_scores", "K1_deep_rank", "K1_page", "M7_categorize", "S7_rows_to_transactions", "S14_hdfc_layout", "S20_routed_statements",
     "ST3_rate_limit_audit", "ST4_lockout", "W1_half_split_trend", "W4_first_by_content_key", "W5_greedy_removal",
 ]
 

@@ -76,9 +76,10 @@ def budget_rule_errors(budgets: DataFrame) -> DataFrame:
 
 
 def rollover(status: DataFrame) -> DataFrame:
-    """Amount a budget carries into the next period when rollover is on."""
-    left = F.greatest(F.col("remaining_amount"), F.lit(0).cast("decimal(15,2)"))
-    return status.withColumn("rollover_amount", left)
+    """Amount a budget carries into the next period: what is left if its ``rollover_enabled``, else nothing."""
+    none = F.lit(0).cast("decimal(15,2)")
+    left = F.greatest(F.col("remaining_amount"), none)
+    return status.withColumn("rollover_amount", F.when(F.col("rollover_enabled"), left).otherwise(none))
 
 
 def recommended_budget(income: DataFrame, rules: DataFrame, rule: str = "detailed") -> DataFrame:

@@ -123,8 +123,16 @@ def remove_duplicates(
     3. A block of more than ``max_chunk`` rows is cut into chunks by range
        partitioning. Chunk i is decided, then its kept rows remove rows from
        the chunks after it; blocks advance together.
+
+    A row without a scope, direction, day or amount is like no other and stays.
     """
     rows = _content(df)
+    needed = [*scope, "transaction_type", "_day", "_cents"]
+    whole = F.lit(True)
+    for c in needed:
+        whole = whole & F.col(c).isNotNull()
+    loose = rows.filter(~whole).select(*df.columns, F.lit(True).alias("is_kept"))
+    rows = rows.filter(whole)
     group = [*scope, "transaction_type", "_day"]
     same = [*group, "_cents", "_desc", "_ref"]
     reps = rows.groupBy(*same).agg(F.min(order).alias("_rep"))
@@ -163,6 +171,7 @@ def remove_duplicates(
         rows.join(fate.select(*same, "_rep", "is_kept"), same)
         .withColumn("is_kept", F.col("is_kept") & (F.col(order) == F.col("_rep")))
         .select(*df.columns, "is_kept")
+        .unionByName(loose)
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.operators.ranking import top_k
+from spendlake.operators.ranking import ranked, top_k
 
 GRAM = 3
 
@@ -60,9 +60,10 @@ def contains_matches(texts: DataFrame, key: str, text: str, keywords: DataFrame)
     )
 
 
-def best_contained(texts: DataFrame, key: str, text: str, keywords: DataFrame, k: int = 1) -> DataFrame:
+def best_contained(texts: DataFrame, key: str, text: str, keywords: DataFrame, k: int | None = 1) -> DataFrame:
+    """The best ``k`` merchants of each text, or all of them, with their rank."""
     matches = contains_matches(texts, key, text, keywords)
-    return top_k(matches, [key], [F.col("confidence").desc(), F.col("ord")], k)
+    return ranked(matches, [key], [F.col("confidence").desc(), F.col("ord")], k)
 
 
 def exact_keyword(texts: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
@@ -141,8 +142,8 @@ def tfidf_index(documents: DataFrame, key: str, text: str) -> DataFrame:
     return weighted.join(norms, key).select(key, "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def tfidf_retrieve(queries: DataFrame, qkey: str, text: str, index: DataFrame, key: str, k: int = 5, min_score: float = 0.0) -> DataFrame:
-    """Best ``k`` documents per query by cosine; terms outside the index do not count."""
+def tfidf_retrieve(queries: DataFrame, qkey: str, text: str, index: DataFrame, key: str, k: int | None = 5, min_score: float = 0.0) -> DataFrame:
+    """Best ``k`` documents per query by cosine, or all; terms outside the index do not count."""
     idf = index.select("term", "idf").distinct()
     counts = (
         queries.select(qkey, F.explode(terms(F.col(text))).alias("term"))
@@ -156,5 +157,5 @@ def tfidf_retrieve(queries: DataFrame, qkey: str, text: str, index: DataFrame, k
     norms = counts.groupBy(qkey).agg(F.sqrt(F.sum(squared).cast("double")).alias("norm"))
     dots = counts.join(index.select(key, "term", "weight"), "term").groupBy(qkey, key).agg(F.sum(product).cast("double").alias("dot"))
     scored = dots.join(norms, qkey).select(qkey, key, F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    return top_k(scored.filter((F.col("score") > 0) & (F.col("score") >= min_score)), [qkey], [F.col("score").desc(), F.col(key)], k)
+    return ranked(scored.filter((F.col("score") > 0) & (F.col("score") >= min_score)), [qkey], [F.col("score").desc(), F.col(key)], k)
 

@@ -23,10 +23,24 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
+    """``top_k``, or every row with its rank where ``k`` is None."""
+    if k is not None:
+        return top_k(df, keys, order, k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; the keys come from the left."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def bucketed_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,7 +52,8 @@ def bucketed_rank(
 ) -> DataFrame:
     """Exact row_number over ``keys`` ordered by time (then ``order``), any depth.
 
-    No task holds more than one time bucket of one key.
+    No task holds more than one time bucket of one key. Rows without a time are
+    a bucket of their own, last where newer rows come first.
     """
     rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
     b = F.col("_b").desc() if descending else F.col("_b").asc()
@@ -51,7 +66,7 @@ def bucketed_rank(
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     return (
-        rows.join(offsets, [*keys, "_b"])
+        join_null_safe(rows, offsets, [*keys, "_b"])
         .withColumn(rank, F.row_number().over(inside) + F.col("_before"))
         .drop("_b", "_before")
     )

@@ -333,9 +333,10 @@ def _(i: Inputs):
 
 
 @query("D7_rollover", "budget_id bigint, rollover_amount double",
-       f"SELECT budget_id, greatest(amount_limit - spent, 0) AS rollover_amount FROM ({BUDGET})")
+       f"SELECT budget_id, CASE WHEN budget_id % 2 = 0 THEN greatest(amount_limit - spent, 0) ELSE 0 END AS rollover_amount FROM ({BUDGET})")
 def _(i: Inputs):
-    return b.rollover(b.budget_status(i.transactions, i.categories, i.budgets, AS_OF))
+    status = b.budget_status(i.transactions, i.categories, i.budgets, AS_OF)
+    return b.rollover(status.withColumn("rollover_enabled", F.col("budget_id") % 2 == 0))
 
 
 @query("A29_recommended_budget", "user_id bigint, bucket string, recommended double", """

@@ -33,7 +33,7 @@ MATCH_COLUMNS = "txn_id bigint, merchant string, category string, subcategory st
 @query("J9_contained_keywords", MATCH_COLUMNS, EXACT)
 def _(i: Inputs):
     rows = i.transactions.withColumn("normalized", x.normalize_description(F.col("description")))
-    return matching.best_contained(rows, "txn_id", "normalized", i.merchant_keywords, 100)
+    return matching.best_contained(rows, "txn_id", "normalized", i.merchant_keywords, None)
 
 
 UPI = f"""
@@ -159,14 +159,14 @@ def _(i: Inputs):
 DOCS = """SELECT merchant, concat_ws(' ', merchant, string_agg(keyword, ' ' ORDER BY ord), category, subcategory) AS text FROM merchant_keywords GROUP BY merchant, category, subcategory"""
 
 
-def retrieve_sql(queries: str, k: int, min_score: float) -> str:
+def retrieve_sql(queries: str, k: int | None, min_score: float) -> str:
     return f"""SELECT txn_id, merchant, score, rank FROM (
 SELECT txn_id, merchant, score, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, merchant) AS rank FROM (
 WITH ix AS ({index_sql(DOCS, 'merchant', 'text')}),
  q AS (SELECT txn_id, t.term, count(*) * d.idf AS w FROM ({terms_sql(queries, 'txn_id', 'query')}) t JOIN (SELECT DISTINCT term, idf FROM ix) d ON d.term = t.term GROUP BY txn_id, t.term, d.idf),
  qn AS (SELECT txn_id AS nk, sqrt(CAST(sum(CAST(w * w AS DECIMAL(28,12))) AS DOUBLE)) AS norm FROM q GROUP BY 1)
 SELECT txn_id, merchant, round(CAST(sum(CAST(w * weight AS DECIMAL(28,12))) AS DOUBLE) / max(norm), 9) AS score FROM q JOIN ix ON ix.term = q.term JOIN qn ON nk = txn_id GROUP BY 1, 2
-) WHERE score > 0 AND score >= {min_score}) WHERE rank <= {k}"""
+) WHERE score > 0 AND score >= {min_score}){f" WHERE rank <= {k}" if k else ""}"""
 
 
 PLAIN = "SELECT txn_id, description || ' ' || coalesce(merchant_name, '') AS query FROM transactions"
@@ -176,10 +176,10 @@ def _plain(i: Inputs):
     return i.transactions.select("txn_id", F.concat_ws(" ", "description", F.coalesce("merchant_name", F.lit(""))).alias("query"))
 
 
-@query("J16_tfidf_scores", "txn_id bigint, merchant string, score double", f"SELECT txn_id, merchant, score FROM ({retrieve_sql(PLAIN, 1000, 0)})")
+@query("J16_tfidf_scores", "txn_id bigint, merchant string, score double", f"SELECT txn_id, merchant, score FROM ({retrieve_sql(PLAIN, None, 0)})")
 def _(i: Inputs):
     index = c.retrieval_index(i.merchant_keywords)
-    return matching.tfidf_retrieve(_plain(i), "txn_id", "query", index, "merchant", 1000)
+    return matching.tfidf_retrieve(_plain(i), "txn_id", "query", index, "merchant", None)
 
 
 @query("M2_tfidf_top_k", "txn_id bigint, merchant string, score double, rank bigint", retrieve_sql(PLAIN, 2, 0))

@@ -129,12 +129,13 @@ def detect_delimiters(lines: DataFrame) -> DataFrame:
 
     Mean > 0 and variance < 2 are tested on whole numbers: n*Σx² - (Σx)² < 2n².
     """
-    head = lines.filter((F.col("line_no") < 10) & (F.trim("line") != ""))
+    # A file whose first lines are all blank stays, with the default delimiter.
+    filled = (F.col("line_no") < 10) & (F.trim("line") != "")
     sums = []
     for k, d in enumerate(DELIMITERS):
-        c = occurrences(F.col("line"), d).cast("bigint")
+        c = F.when(filled, occurrences(F.col("line"), d).cast("bigint")).otherwise(0)
         sums += [F.sum(c).alias(f"s{k}"), F.sum(c * c).alias(f"q{k}")]
-    per_file = head.groupBy("file").agg(F.count(F.lit(1)).alias("n"), *sums)
+    per_file = lines.groupBy("file").agg(F.count(F.when(filled, 1)).alias("n"), *sums)
     n = F.col("n")
 
     def usable(k: int) -> Column:
@@ -191,7 +192,7 @@ def header_cells(lines: DataFrame, headers: DataFrame) -> DataFrame:
     # A file without a header row uses its first non-blank line.
     candidates = (
         lines.join(headers, "file")
-        .filter((F.col("line_no") >= F.col("header_row")) & (F.col("line_no") < F.col("header_row") + 20) & (F.trim("line") != ""))
+        .filter((F.col("line_no") >= F.col("header_row")) & (F.trim("line") != ""))
     )
     first = first_per_key(candidates, ["file"], [F.col("line_no")])
     cells = F.transform(split_cells(F.col("line"), F.col("delimiter")), lambda s: F.trim(s))
@@ -306,17 +307,20 @@ def fields_to_transaction(rows: DataFrame, as_of: dt.date, typed_words: bool = T
     )
 
 
-HEAD_LINES = 40
+HEAD_LINES = 20
 
 
 def head_of_files(lines: DataFrame) -> DataFrame:
-    """The first lines of every file, gathered by one shuffle.
+    """The first lines of every file and its first line with text, gathered by one shuffle.
 
     All facts about a file are derived from this; Spark reuses the exchange, so
     the files are read once for their facts and once for their rows.
     """
-    head = lines.filter(F.col("line_no") < HEAD_LINES).groupBy("file").agg(F.collect_list(F.struct("line_no", "line")).alias("h"))
-    return head.select("file", F.inline("h"))
+    line = F.struct("line_no", "line")
+    head = lines.groupBy("file").agg(
+        F.collect_list(F.when(F.col("line_no") < HEAD_LINES, line)).alias("h"), F.min(F.when(F.trim("line") != "", line)).alias("first")
+    )
+    return head.select("file", F.inline(F.array_distinct(F.array_compact(F.array_append("h", F.col("first"))))))
 
 
 def parse_lines(lines: DataFrame, as_of: dt.date) -> DataFrame:

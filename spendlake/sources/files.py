@@ -1,7 +1,6 @@
 """Raw files: reading, encoding, type detection and upload checks.
 
-A file is one row (path, length, content). Files above the size limit are
-rejected before their content is decoded, so a row is bounded by that limit.
+A file is one row (path, length, content), at most what one row can hold (2 GB).
 """
 
 from __future__ import annotations
@@ -84,9 +83,9 @@ def decode_text(content: Column) -> Column:
 
 
 def to_lines(files: DataFrame) -> DataFrame:
-    """(file, line_no from 0, line) of all files within the parse limit."""
+    """(file, line_no from 0, line) of all files, whatever their size; ``validate_files`` reports large ones."""
     text = decode_text(F.col("content"))
-    return files.filter(F.col("length") <= MAX_PARSE_BYTES).select(
+    return files.select(
         F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     ).withColumn("line", F.regexp_replace("line", "\r$", ""))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.functions.text import platform_family
+from spendlake.operators.ranking import join_null_safe
 from spendlake.session import checkpointed
 
 
@@ -199,7 +200,7 @@ def login_sessions(events: DataFrame, policy: LockoutPolicy) -> DataFrame:
     before = Window.partitionBy("user_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("user_id", "bucket").agg(F.sum("_cut").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     running = F.sum("_cut").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(offsets.drop("_n"), ["user_id", "bucket"]).withColumn("session", running + F.col("_before")).select(
+    return join_null_safe(rows, offsets.drop("_n"), ["user_id", "bucket"]).withColumn("session", running + F.col("_before")).select(
         "event_id", "user_id", "us", "success", "session"
     )
 
@@ -213,7 +214,7 @@ def lockout_audit(events: DataFrame, policy: LockoutPolicy = LockoutPolicy(), ma
     """
     rows = login_sessions(events, policy)
     sizes = rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("_n"), F.max((~F.col("success")).cast("int")).alias("_bad"))
-    sized = rows.join(sizes, ["user_id", "session"])
+    sized = join_null_safe(rows, sizes, ["user_id", "session"])
     # A session without failures needs no replay.
     calm = sized.filter("_bad = 0").select("event_id", "user_id", F.lit("ok").alias("outcome"), F.lit(0).alias("failed_attempts"))
     busy = sized.filter("_bad = 1")

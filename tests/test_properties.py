@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendlake.operators import analytics, dedup, ranking
 from spendlake.operators.filters import active
+from spendlake.sources import delimited, files
 from spendlake.streaming import audit
 
 AS_OF = dt.date(2000, 6, 15)
@@ -135,3 +136,42 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_greedy_removal_keeps_rows_without_keys(spark):
+    day = dt.datetime(2000, 1, 1)
+    data = [(1, 1, day, 5.0, "DEBIT", "cafe one"), (2, 1, day, 5.0, "DEBIT", "cafe one"), (3, 1, None, 5.0, "DEBIT", "cafe"), (4, 1, None, 5.0, "DEBIT", "cafe"),
+            (5, 1, day, None, "DEBIT", "cafe"), (6, None, day, 5.0, "DEBIT", "cafe one"), (7, 1, day, 5.0, None, "cafe one"), (8, 1, day, 5.0, "DEBIT", None)]
+    df = spark.createDataFrame(data, "txn_id bigint, user_id int, transaction_date timestamp, amount double, transaction_type string, description string")
+    got = {r["txn_id"]: r["is_kept"] for r in dedup.remove_duplicates(df).collect()}
+    assert got == {k: k != 2 for k in range(1, 9)}
+
+
+def test_deep_pages_keep_rows_without_a_date(spark):
+    data = [(k, 1, None if k % 3 == 0 else dt.datetime(2000, 1, 1 + k % 5), dt.datetime(2000, 1, 1)) for k in range(30)]
+    df = spark.createDataFrame(data, "txn_id bigint, user_id int, transaction_date timestamp, created_at timestamp")
+    shallow = [[r["txn_id"] for r in ranking.page(df, n, 7).orderBy("rank").collect()] for n in range(1, 6)]
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "0")
+    try:
+        deep = [[r["txn_id"] for r in ranking.page(df, n, 7).orderBy("rank").collect()] for n in range(1, 6)]
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert shallow == deep and sorted(sum(deep, [])) == list(range(30))
+
+
+def test_header_after_many_blank_lines(spark):
+    lines = [("a", k, "") for k in range(50)] + [("a", 50, "Date,Description,Amount"), ("a", 51, "01/02/2000,Coffee,-12.50"), ("b", 0, "Date,Description,Amount"), ("b", 1, ""), ("b", 2, "01/02/2000,Tea,-2.00")]
+    got = delimited.parse_lines(spark.createDataFrame(lines, "file string, line_no int, line string"), AS_OF).select("file", "description", "amount").collect()
+    assert sorted((r["file"], r["description"], float(r["amount"])) for r in got) == [("a", "Coffee", 12.5), ("b", "Tea", 2.0)]
+
+
+def test_large_files_are_read_whole(spark, tmp_path):
+    with open(tmp_path / "big.csv", "w") as f:
+        f.write("Date,Description,Amount\n")
+        for k in range(1000):
+            f.write(f"01/02/2000,{'x' * 56_000}{k},-1.00\n")
+    found = files.read_files(spark, str(tmp_path))
+    assert found.select("length").first()[0] > files.MAX_PARSE_BYTES
+    assert files.to_lines(found).count() == 1002
+    assert files.validate_files(found).select("issues").first()[0] == ["File exceeds maximum size (50MB)"]
