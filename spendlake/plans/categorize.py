@@ -13,6 +13,7 @@ from spendlake.operators import classifier, matching
 from spendlake.plans.registry import Inputs, query
 from spendlake.plans.text import BEST_CONTAINED, GUESS, NORMALIZED, first_of, lit
 from spendlake.session import checkpoint_dir
+from spendlake.operators.analytics import CATEGORY_ALIASES
 from spendlake.sources import dimensions as dim
 
 
@@ -352,8 +353,44 @@ def _(i: Inputs):
     return c.resolve_category(names, i.categories)
 
 
-@query("M9_auto_category", "txn_id bigint, category_id bigint, is_auto_categorized boolean, has_score boolean")
-def _(i: Inputs):
+UNCORRECTED = "\nUNION ALL ".join(leg for leg in CANDIDATES.split("\nUNION ALL ") if "'user_correction'" not in leg)
+
+
+def slug_sql(name: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({name}), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-')"
+
+
+def alias_sql(name: str) -> str:
+    cases = " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in CATEGORY_ALIASES.items())
+    return f"CASE {slug_sql(name)} {cases} ELSE {slug_sql(name)} END"
+
+
+def auto_sql(source: str) -> str:
+    """Rows of ``source`` with category_id, is_auto_categorized, confidence_score: all stages, resolution, keyword fallback."""
+    return f"""
+WITH plain_rows AS ({source}),
+ found AS (SELECT * FROM (
+  WITH transactions AS (SELECT * REPLACE (trim(concat_ws(' ', description, coalesce(merchant_name, ''))) AS description) FROM plain_rows)
+  {M7.replace(CANDIDATES, UNCORRECTED)})),
+ k AS (SELECT key, max(category_id) AS id FROM (SELECT category_id, {slug_sql("name")} AS key FROM categories UNION ALL SELECT category_id, lower(name) FROM categories) GROUP BY 1),
+ w AS (SELECT r.txn_id, first(c.category_id ORDER BY c.category_id) AS id FROM plain_rows r JOIN categories c
+  ON c.parent_id IS NOT NULL AND contains(lower(concat_ws(' ', r.description, coalesce(r.merchant_name, ''))), lower(c.name)) GROUP BY 1),
+ r AS (SELECT f.txn_id, f.confidence, coalesce(k1.id, k2.id, k3.id, k4.id) AS id FROM found f LEFT JOIN k k1 ON k1.key = {alias_sql("f.subcategory")}
+  LEFT JOIN k k2 ON k2.key = lower(f.subcategory) LEFT JOIN k k3 ON k3.key = {alias_sql("f.category")} LEFT JOIN k k4 ON k4.key = lower(f.category))
+SELECT p.* EXCLUDE (category_id), coalesce(p.category_id, r.id, w.id) AS category_id, p.category_id IS NULL AND coalesce(r.id, w.id) IS NOT NULL AS is_auto_categorized,
+ CASE WHEN p.category_id IS NULL AND coalesce(r.id, w.id) IS NOT NULL THEN CASE WHEN r.id IS NULL THEN CAST(0.9 AS DOUBLE) ELSE r.confidence END END AS confidence_score
+FROM plain_rows p LEFT JOIN r ON r.txn_id = p.txn_id LEFT JOIN w ON w.txn_id = p.txn_id"""
+
+
+AUTO_COLUMNS = "txn_id bigint, category_id bigint, is_auto_categorized boolean, confidence_score double"
+
+
+def auto_categorized(i: Inputs, rows):
+    """The whole categorisation of an upload: every stage, then the names of the categories as keywords."""
     words = i.categories.filter("parent_id IS NOT NULL").select(F.col("category_id").alias("ord"), F.lower("name").alias("keyword"), "category_id")
-    out = c.auto_categorize(i.transactions, i.categories, i.merchant_keywords, _upi_patterns(i), words)
-    return out.withColumn("has_score", F.col("confidence_score").isNotNull())
+    return c.auto_categorize(rows, i.categories, i.merchant_keywords, _upi_patterns(i), words)
+
+
+@query("M9_auto_category", AUTO_COLUMNS, auto_sql("SELECT * FROM transactions"))
+def _(i: Inputs):
+    return auto_categorized(i, i.transactions)

@@ -11,6 +11,7 @@ from spendlake.functions import fixed_values as v
 from spendlake.functions import quality as q
 from spendlake.functions import text as x
 from spendlake.operators import dedup
+from spendlake.plans.categorize import AUTO_COLUMNS, auto_categorized, auto_sql
 from spendlake.plans.registry import Inputs, query
 from spendlake.plans.text import KEY_SQL, first_of, lit
 from spendlake.session import checkpoint_dir
@@ -490,16 +491,12 @@ def _(i: Inputs):
     return q.error_summary(q.transaction_errors(_incoming(i)))
 
 
-@query("S30_insert_categorized", "txn_id bigint, category_id bigint, is_auto_categorized boolean", """
-SELECT txn_id, category_id, false AS is_auto_categorized FROM transactions WHERE category_id IS NOT NULL
-""")
+@query("S30_insert_categorized", AUTO_COLUMNS, auto_sql("SELECT * REPLACE (CASE WHEN txn_id % 2 = 0 THEN category_id END AS category_id) FROM transactions"))
 def _(i: Inputs):
-    from spendlake.operators.categorize import auto_categorize
-    from spendlake.plans.categorize import _upi_patterns
-
-    valid, _ = store.split_valid(i.transactions)
-    out = auto_categorize(valid, i.categories, i.merchant_keywords, _upi_patterns(i), retrieval=False)
-    return out.filter("NOT is_auto_categorized AND category_id IS NOT NULL")
+    # Half of the rows come with a category and keep it.
+    rows = i.transactions.withColumn("category_id", F.when(F.col("txn_id") % 2 == 0, F.col("category_id")))
+    valid, _ = store.split_valid(rows)
+    return auto_categorized(i, valid)
 
 
 STORED = """SELECT *, txn_id % 2 = 0 AS is_auto_categorized, CASE WHEN txn_id % 2 = 0 THEN CAST(0.8 AS DOUBLE) END AS confidence_score, 'job' || CAST(txn_id % 30 AS VARCHAR) AS upload_batch_id FROM transactions"""
@@ -563,8 +560,7 @@ def _(i: Inputs):
 
 @query("S36_process_upload", "txn_id bigint, user_id bigint, amount double, transaction_type string, category_id bigint, merchant_name string, raw_data string")
 def _(i: Inputs):
-    from spendlake.operators.categorize import auto_categorize, extract_merchant
-    from spendlake.plans.categorize import _upi_patterns
+    from spendlake.operators.categorize import extract_merchant
 
     parsed = dl.parse_lines(i.csv_lines, AS_OF)
     rows = dl.to_stored(parsed, F.lit(7).cast("bigint"), F.col("file"), store.source_of(F.lit(".csv")))
@@ -572,7 +568,7 @@ def _(i: Inputs):
     staged = store.stage(rows, scratch(i, "upload"))
     named = extract_merchant(staged, "txn_id", i.merchant_keywords).withColumn("merchant_name", F.coalesce("merchant", "description")).drop("merchant")
     named = store.stage(named, scratch(i, "named"))
-    return auto_categorize(named, i.categories, i.merchant_keywords, _upi_patterns(i), retrieval=False)
+    return auto_categorized(i, named)
 
 
 @query("D9_preview_import", "txn_id bigint, is_duplicate boolean, category_id bigint", """
