@@ -145,14 +145,17 @@ def categorize(
 
     ``txns``: txn_id, description, amount, transaction_type, transaction_date.
     ``predictions``: optional classifier output (txn_id, category, subcategory, confidence).
+    All stages that look at the text run once for each distinct description,
+    and one join brings what they found to the transactions.
     """
     desc = F.col("description")
     base = (
-        txns.withColumn("normalized", x.normalize_description(desc))
+        txns.select(desc.alias("_t")).distinct().withColumn("description", F.col("_t"))
+        .withColumn("normalized", x.normalize_description(desc))
         .withColumn("guess", x.merchant_name_guess(F.col("normalized")))
         .withColumn("upi", x.extract_upi_id(desc))
     )
-    key = "txn_id"
+    key = "_t"
 
     def rows(df: DataFrame, method: str, confidence: Column, merchant: Column | None = None, pos: Column | int = 0) -> DataFrame:
         return df.select(key, candidate(method, F.col("category"), F.col("subcategory"), confidence, merchant, pos).alias("c"))
@@ -174,8 +177,6 @@ def categorize(
         )
         found = retrieval_candidates(query, key, "query", keywords).filter("rank <= 3")
         parts.append(rows(found, "rag_retrieval", conf, merchant, F.col("rank")))
-    if predictions is not None:
-        parts.append(rows(predictions, "ml_classification", conf * 0.85))
     looked_up = parts[0]
     for part in parts[1:]:
         looked_up = looked_up.unionByName(part)
@@ -183,7 +184,14 @@ def categorize(
     guess_sub = matching.best_contained(base.filter("guess IS NOT NULL"), key, "guess", keywords).select(
         key, F.col("is_subscription").alias("guess_sub")
     )
-    out = base.join(found, key, "left").join(named, key, "left").join(guess_sub, key, "left")
+    facts = base.select(key, "normalized", "guess").join(found, key, "left").join(named, key, "left").join(guess_sub, key, "left")
+    out = txns.join(facts, desc.eqNullSafe(F.col(key)), "left")
+    if predictions is not None:
+        own = candidate("ml_classification", F.col("category"), F.col("subcategory"), conf * 0.85, None, 0)
+        predicted = predictions.select("txn_id", own.alias("p")).groupBy("txn_id").agg(F.collect_list("p").alias("predicted"))
+        out = out.join(predicted, "txn_id", "left")
+    else:
+        out = out.withColumn("predicted", F.lit(None).cast(f"array<{CANDIDATE}>"))
     if corrections is not None:
         out = out.join(latest_corrections(corrections), ["normalized", "amount"], "left")
     else:
@@ -198,6 +206,7 @@ def categorize(
             F.when(F.col("c").isNotNull(), candidate("user_correction", F.col("c.category"), F.col("c.subcategory"), F.lit(0.99))),
         )),
         F.coalesce("found", none),
+        F.coalesce("predicted", none),
         hints_as_candidates("amount_heuristic", F.slice(x.amount_hints(F.col("amount"), is_debit), 1, 2)),
         hints_as_candidates("time_pattern", x.time_hints(F.col("transaction_date"))),
     )
@@ -274,9 +283,11 @@ def keyword_fallback(df: DataFrame, key: str, category_words: DataFrame) -> Data
 
     ``category_words``: ord, keyword, category_id.
     """
-    text = F.concat_ws(" ", "description", F.coalesce("merchant_name", F.lit("")))
-    hits = matching.contained(df.select(key, text.alias("text")), key, "text", category_words, "keyword")
-    return hits.groupBy(key).agg(F.min_by("category_id", "ord").alias("fallback_id"))
+    texts = df.select(key, F.concat_ws(" ", "description", F.coalesce("merchant_name", F.lit(""))).alias("text"))
+    distinct = texts.select("text", F.col("text").alias("_t")).distinct()
+    hits = matching.contained(distinct, "_t", "text", category_words, "keyword")
+    first = hits.groupBy("_t").agg(F.min_by("category_id", "ord").alias("fallback_id"))
+    return texts.join(first, F.col("text") == F.col("_t")).select(key, "fallback_id")
 
 
 def auto_categorize(
