@@ -154,6 +154,7 @@ def categorize(
         .withColumn("normalized", x.normalize_description(desc))
         .withColumn("guess", x.merchant_name_guess(F.col("normalized")))
         .withColumn("upi", x.extract_upi_id(desc))
+        .withColumn("bank", bank_narration(desc))
     )
     key = "_t"
 
@@ -184,7 +185,7 @@ def categorize(
     guess_sub = matching.best_contained(base.filter("guess IS NOT NULL"), key, "guess", keywords).select(
         key, F.col("is_subscription").alias("guess_sub")
     )
-    facts = base.select(key, "normalized", "guess").join(found, key, "left").join(named, key, "left").join(guess_sub, key, "left")
+    facts = base.select(key, "normalized", "guess", "bank").join(found, key, "left").join(named, key, "left").join(guess_sub, key, "left")
     out = txns.join(facts, desc.eqNullSafe(F.col(key)), "left")
     if predictions is not None:
         own = candidate("ml_classification", F.col("category"), F.col("subcategory"), conf * 0.85, None, 0)
@@ -198,7 +199,7 @@ def categorize(
         out = out.withColumn("c", F.lit(None).cast("struct<category:string,subcategory:string>"))
 
     is_debit = F.lower("transaction_type") == "debit"
-    bank = bank_narration(desc)
+    bank = F.col("bank")
     none = F.array().cast(f"array<{CANDIDATE}>")
     all_candidates = F.concat(
         F.array_compact(F.array(
