@@ -244,7 +244,18 @@ def _(i: Inputs):
     return _page_files(i).withColumn("file_type", fl.file_type(F.col("path"), F.col("content")))
 
 
-@query("S24_file_validation", "path string, length bigint, file_type string, issues string, is_valid boolean")
+EXT = "CASE CAST(page_id % 7 AS INT) WHEN 0 THEN 'csv' WHEN 1 THEN 'pdf' WHEN 2 THEN 'xlsx' WHEN 3 THEN 'exe' WHEN 4 THEN 'txt' ELSE '' END"
+SIZE = "CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 3 + strlen(html) WHEN 1 THEN 2 + 2 * length(html) WHEN 2 THEN 5 + strlen(html) WHEN 3 THEN 12 WHEN 4 THEN 17 ELSE 0 END"
+VALIDATION = f"""
+SELECT path, size AS length, kind AS file_type, coalesce(issue, '') AS issues, issue IS NULL AS is_valid FROM (SELECT *,
+ CASE WHEN size = 0 THEN 'File is empty' WHEN kind IS NULL THEN 'Unsupported file format'
+  WHEN kind = 'pdf' AND NOT (page_id % 6 = 2 AND e = 'pdf') OR kind = 'excel' AND e <> 'xlsx' OR kind = 'csv' AND e NOT IN ('csv', 'txt') THEN 'File appears to be corrupted or malformed' END AS issue
+ FROM (SELECT *, CASE WHEN size > 0 THEN {TYPE} END AS kind, '/data/p' || CAST(page_id AS VARCHAR) || CASE WHEN e = '' THEN '' ELSE '.' || e END AS path
+  FROM (SELECT *, {EXT} AS e, {SIZE} AS size FROM ({CUT}))))
+"""
+
+
+@query("S24_file_validation", "path string, length bigint, file_type string, issues string, is_valid boolean", VALIDATION)
 def _(i: Inputs):
     return fl.validate_files(_page_files(i)).withColumn("issues", F.array_join("issues", "; "))
 

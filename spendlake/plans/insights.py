@@ -484,7 +484,11 @@ def _(i: Inputs):
     return hits.groupBy("merchant", "category", "subcategory", "is_subscription").agg(F.count("*").alias("n"))
 
 
-@query("F15_amount_hints", "txn_id bigint, category string")
+PRICES = ", ".join(f"('{m[2]}', {m[5]}, {m[6]})" for m in dim.MERCHANTS)
+
+
+@query("F15_amount_hints", "txn_id bigint, category string",
+       f"SELECT DISTINCT txn_id, category FROM (SELECT txn_id, amount % 2000 AS a FROM transactions) JOIN (VALUES {PRICES}) m(category, low, high) ON a BETWEEN low AND high")
 def _(i: Inputs):
     small = i.transactions.select("txn_id", (F.col("amount") % 2000).alias("amount"))
     return dim.amount_category_hints(small, dim.default_merchants(i.spark))
@@ -506,7 +510,22 @@ def _(i: Inputs):
     return sizes.join(used, "category", "left").withColumn("matched_rows", F.coalesce("matched_rows", F.lit(0)))
 
 
-@query("S35_seeded_categories", "name string, slug string, parent string, is_income boolean, display_order bigint, n bigint")
+def _slug(name: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({name}), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-')"
+
+
+SEED_ROWS = ", ".join(
+    f"('{name}', {'NULL' if parent is None else repr(parent)}, {kind == 'income'}, {priority})"
+    for category, (kind, priority, _tax) in dim.CATEGORIES.items()
+    for name, parent in [(category, None), *((s, category) for s in dim.SUBCATEGORIES[category])]
+)
+
+
+@query("S35_seeded_categories", "name string, slug string, parent string, is_income boolean, display_order bigint, n bigint", f"""
+SELECT v.name, {_slug("v.name")} AS slug, v.parent, v.is_income, v.display_order, coalesce(u.n, 0) AS n
+FROM (VALUES {SEED_ROWS}) v(name, parent, is_income, display_order)
+LEFT JOIN (SELECT subcategory, count(*) AS n FROM labelled WHERE NOT is_deleted GROUP BY 1) u ON u.subcategory = v.name
+""")
 def _(i: Inputs):
     seed = dim.seed_categories(dim.system_categories(i.spark).limit(0))
     parent = seed.filter("parent_id IS NULL").select(F.col("category_id").alias("parent_id"), F.col("name").alias("parent"))

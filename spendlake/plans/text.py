@@ -403,7 +403,10 @@ def _(i: Inputs):
     )
 
 
-@query("C29_raw_record", "txn_id bigint, raw_data string")
+@query("C29_raw_record", "txn_id bigint, raw_data string", """
+SELECT txn_id, CAST(json_object('txn_id', txn_id, 'date', CAST(CAST(transaction_date AS DATE) AS VARCHAR), 'description', description, 'amount', CAST(amount AS DOUBLE), 'transaction_type', transaction_type) AS VARCHAR) AS raw_data
+FROM transactions
+""")
 def _(i: Inputs):
     from spendlake.sources.store import raw_record
 
