@@ -125,12 +125,25 @@ def lockouts(events: DataFrame, policy: LockoutPolicy = LockoutPolicy()) -> Data
     )
 
 
-def live_spending(transactions: DataFrame) -> DataFrame:
-    """Running spending per user, month and category."""
+MONTH_LATE = "62 days"
+
+
+def live_spending(transactions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Running spending per user, month and top-level category, as budgets count it.
+
+    The state holds about three months: a month leaves it, and rows of it are
+    late, once a month that begins ``MONTH_LATE`` after it has been seen.
+    """
+    parents = categories.select("category_id", F.coalesce("parent_id", "category_id").alias("group_id"))
+    first_day = F.date_trunc("month", F.col("transaction_date").cast("timestamp"))
     return (
         transactions.filter(~F.col("is_deleted") & (F.col("transaction_type") == "DEBIT"))
-        .groupBy("user_id", F.date_format("transaction_date", "yyyy-MM").alias("month"), "category_id")
+        .join(parents, "category_id")
+        .withColumn("first_day", first_day)
+        .withWatermark("first_day", MONTH_LATE)
+        .groupBy("user_id", "first_day", "group_id")
         .agg(F.sum("amount").alias("spent"), F.count(F.lit(1)).alias("n"))
+        .select("user_id", F.date_format("first_day", "yyyy-MM").alias("month"), F.col("group_id").alias("category_id"), "spent", "n")
     )
 
 
@@ -145,10 +158,10 @@ def budget_alerts(spending: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def watch_budgets(transactions: DataFrame, budgets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def watch_budgets(transactions: DataFrame, categories: DataFrame, budgets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the alerts of every micro-batch's updated totals."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         budget_alerts(batch, budgets).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return start(live_spending(transactions), checkpoint, mode="update", each_batch=each)
+    return start(live_spending(transactions, categories), checkpoint, mode="update", each_batch=each)
