@@ -79,6 +79,9 @@ def near_duplicates(
     )
     same_ref = (F.col("_ref") != "") & (F.col("_ref") == F.col("a_ref"))
     if method == "edit":
+        # The difference in length is a lower bound of the distance.
+        longest = F.greatest(F.length("_desc"), F.length("a_desc"))
+        pairs = pairs.filter(same_ref | (F.abs(F.length("_desc") - F.length("a_desc")) <= longest * (1 - threshold)))
         alike = edit_similarity(F.col("_desc"), F.col("a_desc")) > threshold
     else:
         short, total = F.least(F.length("_desc"), F.length("a_desc")), F.length("_desc") + F.length("a_desc")
