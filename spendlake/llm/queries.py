@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, suffix_tree, token_files, warc
+from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, suffix_tree, token_counts, token_files, warc
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+@query
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "flat")
+    end = token_counts.write_flat(table(spark, sf_dir, "documents"), path, public_tokenizer())
+    return token_counts.count_tokens(spark, path, end)
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))

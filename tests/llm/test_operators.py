@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from spendlake.llm import decontaminate, embeddings, language, mixing, ring, scan, shared, simhash, suffix_tree, token_files, warc
+from spendlake.llm import decontaminate, embeddings, language, mixing, ring, scan, shared, simhash, suffix_tree, token_counts, token_files, warc
 from spendlake.llm.queries import ORACLES, QUERIES, public_tokenizer
 from tests.conftest import SF_DIR
 from tests.llm import brute
@@ -124,6 +124,27 @@ def test_random_access(tmp_path, bits):
         assert (file.ids(a, b) == ids[a:b]).all()
 
 
+# 2 token counts
+
+
+def test_token_count_query(spark, documents):
+    got = QUERIES["op2_separator_scan"](spark, SF_DIR).orderBy("start").collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(w[2] for w in brute.token_rows(pairs(documents), public_tokenizer()))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist() and all(r["ended"] for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 7, 100000])
+def test_counts_across_blocks(spark, odd, none, block):
+    path = shared.scratch(spark, "test")
+    end = token_counts.write_flat(odd.where("length(coalesce(text, '')) < 500").repartition(3), path, public_tokenizer())
+    got = token_counts.count_tokens(spark, path, end, block).orderBy("start").collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(w[2] for w in brute.token_rows([p for p in pairs(odd) if len(p[1] or "") < 500], public_tokenizer()))
+    rest = token_counts.count_tokens(spark, path, end + 1, block).collect()
+    assert [(r["start"], r["n_tokens"], r["ended"]) for r in rest] == [(0, sum(r["n_tokens"] for r in got), False)]
+    path = shared.scratch(spark, "test")
+    assert token_counts.count_tokens(spark, path, token_counts.write_flat(none, path, public_tokenizer())).count() == 0
+
+
 # 3 mixing
 
 
