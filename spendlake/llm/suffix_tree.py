@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
 from spendlake.llm.shared import stored, without
 
-DEPTH = 5
+DEPTH = 6
 MIN_SHARE = 1e-7
 #: A state's distribution differs from its parent's by so many nats at least.
 DIVERGENCE = 0.005

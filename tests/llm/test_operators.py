@@ -258,6 +258,13 @@ def test_tree_beats_unigrams_on_held_out(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_tree_looks_six_bytes_back(spark):
+    model, rare = suffix_tree.train(spark.createDataFrame([("a12345x",), ("b12345y",)] * 200, "text string"))
+    got = suffix_tree.score(spark.createDataFrame([(0, "a12345x"), (1, "a12345y")], "doc_id bigint, text string"), model, rare)
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert score[0] > score[1] + 2
+
+
 def test_tree_without_training(odd, none):
     model, rare = suffix_tree.train(none)
     got = suffix_tree.score(odd, model, rare).collect()
