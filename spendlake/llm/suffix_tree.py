@@ -4,11 +4,11 @@ A text is its lower-cased words, a blank between two, and an end: a sequence of
 contexts of up to DEPTH bytes. Training counts every byte after every context over all training texts.
 A context becomes a state if its next-byte distribution diverges from that of the context without its
 farthest byte (in divergence itself and in significance), and the suffixes of a state are states.
-The distribution of a state is smoothed with its parent's: P(b) = (n(b) + r * P_parent(b)) / (N + d), d being its
-number of different next bytes and r that number and the counts that make no entry; above the root stands the
-uniform distribution over bytes. A byte is
-scored by the longest state that ends its context. Counts below MIN_SHARE of all bytes make no entry, so the
-tree has at most 1 / MIN_SHARE entries a level, whatever the corpus.
+The distribution of a state is smoothed with its parent's: P(b) = (n(b) + d * P_parent(b)) / (N + d), d being its
+number of different next bytes; above the root stands the uniform distribution over bytes. A byte is scored by the
+longest state that ends its context. Every counted entry takes part: the tree is a written table, tested, smoothed
+and looked up by joins. Tasks hold the scores of keys above MIN_SHARE of all bytes, at most 1 / MIN_SHARE of them;
+this changes no result.
 
 Beside it stands a smoothed unigram model over words, for which every word is looked up in the counts: frequent
 words in each task, the others by a join, where no word is frequent enough to be hot.
@@ -30,6 +30,7 @@ from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
 from spendlake.llm.shared import stored, without
 
 DEPTH = 6
+#: The score of a key of this share of all is held in the tasks, so there are at most 1 / MIN_SHARE such keys.
 MIN_SHARE = 1e-7
 #: A state's distribution differs from its parent's by so many nats at least.
 DIVERGENCE = 0.005
@@ -145,79 +146,83 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-@dataclass(frozen=True)
-class Level:
-    """The states of one depth (sorted contexts, log of what is left to the parent) and their entries (sorted keys, log probability)."""
-
-    states: np.ndarray
-    left: np.ndarray
-    keys: np.ndarray
-    log: np.ndarray
+def _shorter(key: str, by: int | str = 1) -> F.Column:
+    """As ``shorter``, of a column."""
+    return F.expr(f"shiftleft(shiftright({key}, 8 * (1 + {by})), 8) | ({key} & 255)")
 
 
 class Tree:
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> None:
-        """``counts``, for each depth: sorted keys of the entries, their counts, and of their contexts the count and the number of different next bytes."""
-        self.levels: list[Level] = []
-        stats = []
-        for keys, n, total, different in counts:
-            context, first, at = np.unique(keys >> 8, return_index=True, return_inverse=True)
-            # what goes to the parent: a share for new bytes, and the counts of bytes that make no entry
-            left = total[first] - np.bincount(at, n, len(context)) + different[first]
-            stats.append((keys, n, context, at, total[first], different[first], left))
-        keep = [np.ones(len(stats[0][2]), bool)] if stats else []
-        for k in range(1, len(stats)):
-            keys, n, context, at, total, different, _ = stats[k]
-            parent, _ = _find(stats[k - 1][0], shorter(keys))
-            of = stats[k - 1][3][parent]
-            gain = n * np.log((n / total[at]) / (stats[k - 1][1][parent] / stats[k - 1][4][of]))
-            gain = np.bincount(at, gain, len(context))
-            free = np.maximum(different - 1, 1)
-            keep.append((gain >= divergence * total) & (2 * gain >= free + 4 * np.sqrt(2 * free)))
-        for k in range(len(stats) - 1, 1, -1):  # the suffixes of a state are states
-            parent, found = _find(stats[k - 1][2], stats[k][2][keep[k]] >> 8)
-            keep[k - 1][parent[found]] = True
+    """The states as a written table ``nodes``: (kind, context, total, different, of), ``of`` being a map of next byte to count."""
+
+    def __init__(self, counts: DataFrame, divergence: float = DIVERGENCE) -> None:
+        """``counts``: (kind, key, n) of all entries, as ``count`` gives them."""
+        of_context = Window.partitionBy("kind", "context")  # at most 256 rows each
+        entries = counts.where("kind >= 0").withColumn("context", F.shiftright("key", 8))
+        entries = stored(entries.withColumn("total", F.sum("n").over(of_context)).withColumn("different", F.count("*").over(of_context)), "entries")
+        parents = entries.select((F.col("kind") + 1).alias("__kind"), F.col("key").alias("__key"), (F.col("n") / F.col("total")).alias("share"))
+        # every entry has a parent, and a parent at most 256 children
+        gains = entries.join(parents, (F.col("kind") == F.col("__kind")) & (_shorter("key") == F.col("__key")))
+        gains = gains.groupBy("kind", "context").agg(
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share"))).alias("gain"), F.first("total").alias("total"),
+            F.greatest(F.first("different") - 1, F.lit(1)).alias("free"),
+        )
+        states = gains.where((F.col("gain") >= divergence * F.col("total")) & (2 * F.col("gain") >= F.col("free") + 4 * F.sqrt(2 * F.col("free"))))
+        # the suffixes of a state are states
+        states = states.select("kind", "context", F.explode(F.expr("sequence(0, kind - 1)")).alias("by"))
+        states = states.select((F.col("kind") - F.col("by")).alias("kind"), F.expr("shiftright(context, 8 * by)").alias("context"))
+        states = states.union(counts.sparkSession.createDataFrame([(0, 0)], "kind int, context bigint")).distinct()
+        nodes = entries.join(states, ["kind", "context"], "left_semi").groupBy("kind", "context").agg(
+            F.first("total").alias("total"), F.first("different").alias("different"),
+            F.map_from_entries(F.collect_list(F.struct(F.expr("int(key & 255)"), "n"))).alias("of"),
+        )
+        self.nodes = stored(nodes, "nodes")
+
+    def scores(self, keys: DataFrame) -> DataFrame:
+        """(key, log): log10 of the probability of each byte after its context, of the distinct ``key`` of ``keys``."""
+        asked = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("kind"))
+        asked = asked.select("kind", _shorter("key", f"({DEPTH} - kind)").alias("key")).distinct()
+        nodes = self.nodes.withColumnsRenamed({"kind": "__kind", "context": "__context"})
+        found = asked.join(nodes, (F.col("kind") == F.col("__kind")) & (F.shiftright("key", 8) == F.col("__context")), "left")
+        n = F.coalesce(F.try_element_at("of", F.expr("int(key & 255)")), F.lit(0))
+        found = stored(found.select("kind", "key", n.alias("n"), "total", "different"), "found")
         above = None
-        for k, (keys, n, context, at, total, different, left) in enumerate(stats):
-            if k == 0:
-                base = np.full(len(keys), 1 / 256)
-            else:
-                parent, found = _find(self.levels[k - 1].keys, shorter(keys))
-                base = np.where(found, above[parent] if len(above) else 0, 0)
-            probability = (n + left[at] * base) / (total + different)[at]
-            stays = keep[k][at]
-            above = probability[stays]
-            self.levels.append(Level(context[keep[k]], np.log10(left / (total + different))[keep[k]], keys[stays], np.log10(above)))
+        for k in range(DEPTH + 1):
+            own = found.where(F.col("kind") == k)
+            if above is None:
+                own = own.withColumn("p", F.lit(1 / 256))
+            else:  # a key has at most 256 children
+                own = own.join(above, _shorter("key") == F.col("__key"))
+            p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + F.col("different") * F.col("p")) / (F.col("total") + F.col("different")))
+            above = own.select(F.col("key").alias("__key"), p.alias("p"))
+        return above.select(F.col("__key").alias("key"), F.log10("p").alias("log"))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each byte after its context; ``keys`` are ascending."""
-        depth, active = np.zeros(len(keys), np.int8), np.arange(len(keys))
-        for k, level in enumerate(self.levels[1:], 1):  # ascending keys of one context stand together
-            context = keys[active] >> 8 >> 8 * (DEPTH - k)
-            first = np.flatnonzero(np.diff(context, prepend=-1))
-            _, found = _find(level.states, context[first])
-            active = active[np.repeat(found, np.diff(first, append=len(active)))]
-            depth[active] = k
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
-        for k in range(len(self.levels) - 1, -1, -1):
-            level, here = self.levels[k], depth[left] >= k
-            own = shorter(keys[left[here]], DEPTH - k)
-            entry, seen = _find(level.keys, own)
-            if len(level.log):
-                out[left[here]] += np.where(seen, level.log[entry], 0)
-            state, there = _find(level.states, own[~seen] >> 8)
-            if len(level.left):
-                out[left[here][~seen]] += np.where(there, level.left[state], 0)
-            left = np.concatenate([left[~here], left[here][~seen]])
-        out[left] -= np.log10(256.0)
-        return out
+        """As ``scores``, of a few keys."""
+        table = self.nodes.sparkSession.createDataFrame(pd.DataFrame({"key": keys}))
+        found = {r["key"]: r["log"] for r in self.scores(table).collect()}
+        return np.array([found[k] for k in keys.tolist()])
+
+    @property
+    def levels(self) -> list[Level]:
+        return [Level(self.nodes.where(F.col("kind") == k)) for k in range(DEPTH + 1)]
 
 
 @dataclass(frozen=True)
-class Model:
-    """The tree; the unigram model's counts of frequent words (sorted hashes) and its totals."""
+class Level:
+    nodes: DataFrame
 
-    tree: Tree
+    @property
+    def states(self) -> list[int]:
+        """The contexts of the states of one depth, to look at those of a small tree."""
+        return [r["context"] for r in self.nodes.select("context").collect()]
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What each task holds: of frequent keys (sorted) the log probability, of frequent words (sorted hashes) the counts; the totals."""
+
+    keys: np.ndarray
+    log: np.ndarray
     words: np.ndarray
     counts: np.ndarray
     tokens: int
@@ -227,26 +232,32 @@ class Model:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
 
 
+@dataclass(frozen=True)
+class Model:
+    """The tree, whole; what the tasks hold of it and of the unigram model."""
+
+    tree: Tree
+    held: Tables
+
+
+def _sorted(table: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(table.column(key).to_numpy())
+    return table.column(key).to_numpy()[order], table.column(value).to_numpy()[order]
+
+
 def train(training: DataFrame) -> tuple[Model, DataFrame]:
     """(model, counts of the words that are not frequent) of ``training`` (text); null texts are empty."""
     counts = stored(count(training), "counts")
     tokens, vocabulary, symbols = counts.agg(F.sum(F.expr(f"if(kind = {WORD}, n, 0)")), F.count_if(F.col("kind") == WORD), F.sum(F.expr("if(kind = 0, n, 0)"))).first()
     tokens, symbols = tokens or 0, symbols or 0
-    of_context = Window.partitionBy("kind", F.shiftright("key", 8))  # at most 256 rows each
-    entries = counts.where("kind >= 0").withColumn("total", F.sum("n").over(of_context)).withColumn("different", F.count("*").over(of_context))
-    entries = entries.where(F.col("n") >= symbols * MIN_SHARE).toArrow()  # at most (DEPTH + 1) / MIN_SHARE rows
-    kind, key, n, total, different = (entries.column(c).to_numpy() for c in ("kind", "key", "n", "total", "different"))
-    levels = []
-    for k in range(DEPTH + 1):
-        own = np.flatnonzero(kind == k)
-        own = own[np.argsort(key[own])]
-        levels.append((key[own], *(x[own].astype(np.float64) for x in (n, total, different))))
+    tree = Tree(counts)
+    often = counts.where((F.col("kind") == DEPTH) & (F.col("n") >= symbols * MIN_SHARE)).select("key")
+    often = tree.scores(often).toArrow()  # at most 1 / MIN_SHARE rows
     frequent = (F.col("n") >= tokens * FREQUENT) | (F.col("key") == END_KEY)
     of_words = counts.where(F.col("kind") == WORD)
     hot = of_words.where(frequent).select("key", "n").toArrow()  # at most 1 / FREQUENT + 1 rows
-    order = np.argsort(hot.column("key").to_numpy())
-    model = Model(Tree(levels), hot.column("key").to_numpy()[order], hot.column("n").to_numpy()[order], tokens, vocabulary)
-    return model, of_words.where(~frequent).select("key", "n")
+    held = Tables(*_sorted(often, "key", "log"), *_sorted(hot, "key", "n"), tokens, vocabulary)
+    return Model(tree, held), of_words.where(~frequent).select("key", "n")
 
 
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -260,8 +271,8 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     other. Every row gives a row, also where ids repeat; columns named as a result are replaced.
     """
     spark = docs.sparkSession
-    docs = without(docs, *RESULTS, "__row", "__rare").select(F.col("text").alias("__text"), *(c for c in docs.columns if c != "text" and c not in RESULTS))
-    shared = spark.sparkContext.broadcast(model)
+    docs = without(docs, *RESULTS, "__row", "__rare", "__keys").select(F.col("text").alias("__text"), *(c for c in docs.columns if c != "text" and c not in RESULTS))
+    shared = spark.sparkContext.broadcast(model.held)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, row = shared.value, TaskContext.get().partitionId() << 40
@@ -269,10 +280,14 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
             for first, end, data, offsets in pieces(*buffers(batch.column(0)), PIECE):
                 text, bounds, hashed, before = sequence(data, offsets)
                 codes, unique = pd.factorize(contexts(text, bounds))
-                order = np.argsort(unique)
-                log = np.empty(len(unique))
-                log[order] = of.tree.score(unique[order])
+                order = np.argsort(unique)  # in this order look-ups are near each other
+                place, cached = np.empty(len(unique), np.int64), np.empty(len(unique), bool)
+                place[order], cached[order] = _find(of.keys, unique[order])
+                log = np.where(cached, of.log[place] if len(of.log) else 0.0, 0.0)
                 total = np.add.reduceat(log[codes], bounds[:-1])
+                absent = ~cached[codes]
+                others_upto = np.concatenate([[0], np.cumsum(absent)])[bounds]
+                keys = pa.ListArray.from_arrays(pa.array(others_upto.astype(np.int32)), pa.array(unique[codes[absent]]))
                 at, known = _find(of.words, np.append(hashed.view(np.int64), END_KEY))
                 c = np.where(known, of.counts[at] if len(of.counts) else 0, 0)
                 upto = np.concatenate([[0], np.cumsum(known[:-1])])
@@ -282,19 +297,24 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array((before - upto[before]).astype(np.int32)), pa.array(others))
                 columns = [
                     pa.array(row + np.arange(end - first)), pa.array(np.diff(before) + 1), pa.array(np.diff(upto[before]) + int(known[-1])),
-                    pa.array(np.diff(base[before]) + last), pa.array(total), lists,
+                    pa.array(np.diff(base[before]) + last), pa.array(total), lists, keys,
                 ]
                 row += end - first
                 rest = batch.slice(first, end - first).columns[1:]
-                yield pa.RecordBatch.from_arrays([*columns, *rest], names=["__row", "n_tokens", "n_known", "base_score", "score", "__rare", *batch.schema.names[1:]])
+                yield pa.RecordBatch.from_arrays([*columns, *rest], names=["__row", "n_tokens", "n_known", "base_score", "score", "__rare", "__keys", *batch.schema.names[1:]])
 
-    schema = "__row bigint, n_tokens bigint, n_known bigint, base_score double, score double, __rare array<bigint>"
+    schema = "__row bigint, n_tokens bigint, n_known bigint, base_score double, score double, __rare array<bigint>, __keys array<bigint>"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
     found = stored(docs.mapInArrow(task, schema + (", " + kinds if kinds else "")), "scored")
     spread = found.select("__row", F.explode("__rare").alias("__word"))
     each = spread.join(rare, F.col("__word") == F.col("key"), "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.tokens + 0.1 * (model.vocabulary + 1)))
+    log = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.held.tokens + 0.1 * (model.held.vocabulary + 1)))
     each = each.groupBy(F.col("__row").alias("__of")).agg(F.sum(log).alias("__log"), F.count("n").alias("__known"))
-    out = found.drop("__rare").join(each, F.col("__row") == F.col("__of"), "left")
+    asked = found.select("__row", F.explode("__keys").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("__times"))
+    asked = stored(asked, "asked")
+    logs = model.tree.scores(asked.select("key").distinct())
+    bytes_of = asked.join(logs, "key").groupBy(F.col("__row").alias("__text")).agg(F.sum(F.col("log") * F.col("__times")).alias("__sum"))
+    out = found.drop("__rare", "__keys").join(each, F.col("__row") == F.col("__of"), "left").join(bytes_of, F.col("__row") == F.col("__text"), "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("__sum", F.lit(0.0)))
     out = out.withColumn("n_known", F.col("n_known") + F.coalesce("__known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("__log", F.lit(0.0)))
-    return out.withColumn("train_tokens", F.lit(model.tokens).cast("bigint")).drop("__row", "__of", "__log", "__known")
+    return out.withColumn("train_tokens", F.lit(model.held.tokens).cast("bigint")).drop("__row", "__of", "__text", "__sum", "__log", "__known")

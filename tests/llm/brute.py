@@ -93,6 +93,31 @@ def unigram(rows):
     return [(i, out, len(words), sum(counts[w] > 0 for w in words), n, sum(map(log, words))) for (i, _), words, out in zip(rows, tokens, held)]
 
 
+def tree_score(training, text, depth, divergence):
+    """log10 of the probability of ``text`` by the suffix tree of ``training``."""
+    symbols = lambda t: b"\n" * depth + b" ".join(BLANK_WORDS.findall(lower(t))) + b"\n"
+    after = {}
+    for t in map(symbols, training):
+        for i in range(depth, len(t)):
+            for k in range(depth + 1):
+                after.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    states = {b""}
+    for context, own in after.items():
+        if context:
+            parent, total, free = after[context[1:]], sum(own.values()), max(len(own) - 1, 1)
+            gain = sum(n * math.log(n / total / (parent[b] / sum(parent.values()))) for b, n in own.items())
+            if gain >= divergence * total and 2 * gain >= free + 4 * math.sqrt(2 * free):
+                states.update(context[j:] for j in range(len(context)))
+    score, t = 0.0, symbols(text)
+    for i in range(depth, len(t)):
+        p = 1 / 256
+        for k in range(depth + 1):
+            if (own := after.get(t[i - k : i])) and t[i - k : i] in states:
+                p = (own[t[i]] + len(own) * p) / (sum(own.values()) + len(own))
+        score += math.log10(p)
+    return score
+
+
 def near_vectors(rows, cosine=0.9):
     """[(vec_id, n_links, component_id, kept)] of (vec_id, embedding)."""
 

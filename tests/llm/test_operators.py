@@ -265,6 +265,17 @@ def test_tree_looks_six_bytes_back(spark):
     assert score[0] > score[1] + 2
 
 
+@pytest.mark.parametrize("share", [0.0, 1e-7, 0.01, 1.0])
+def test_tree_holds_rare_contexts(spark, monkeypatch, share):
+    monkeypatch.setattr(suffix_tree, "MIN_SHARE", share)
+    texts = ["abcabdacbddbaacbdabcdd " * 9] * 30 + ["xqzw"] * 12
+    model, rare = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [(0, "xqzw abca"), (1, "new words"), (2, None)]
+    got = suffix_tree.score(spark.createDataFrame(asked, "doc_id int, text string"), model, rare)
+    for doc_id, score in rows(got, "doc_id", "score"):
+        assert math.isclose(score, brute.tree_score(texts, asked[doc_id][1], suffix_tree.DEPTH, suffix_tree.DIVERGENCE), rel_tol=1e-9)
+
+
 def test_tree_without_training(odd, none):
     model, rare = suffix_tree.train(none)
     got = suffix_tree.score(odd, model, rare).collect()
