@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions import fixed_values as v
@@ -143,6 +145,29 @@ def _(i: Inputs):
     return rows
 
 
+# For each layout of the generated files: the names a caller gives its columns, and the fields they are.
+LAYOUTS = [
+    ("Date,Details,Value,Kind,Left", CONFIG | {"type": "Kind"}),
+    ("Day;What;Out;In;Rest", {"date": "Day", "description": "What", "withdrawal": "Out", "deposit": "In", "balance": "Rest"}),
+    ("Date\tDetails\tValue\tSign\tLeft", CONFIG | {"type_indicator": "Sign"}),
+    ("On|Text|Minus|Plus|Rest", {"date": "On", "description": "Text", "withdrawal": "Minus", "deposit": "Plus", "balance": "Rest"}),
+    ("Date,To,Value,Kind,Code", {"date": "Date", "description": "To", "amount": "Value", "type": "Kind", "reference": "Code"}),
+    ("On,Text,Minus,Plus,Rest", {"date": "On", "description": "Text", "withdrawal": "Minus", "deposit": "Plus", "balance": "Rest"}),
+]
+
+
+@query("S8_caller_mapping_layouts", PARSED_COLUMNS, f"SELECT * REPLACE (line_no - 2 AS line_no) FROM ({EXPECTED})")
+def _(i: Inputs):
+    """Every file of every layout, each layout under a mapping of its own."""
+    lines = i.csv_lines.withColumn("f", F.substring("file", 5, 20).cast("long") % len(LAYOUTS)).filter("line_no >= 2")
+    parts = []
+    for n, (names, config) in enumerate(LAYOUTS):
+        header = F.when(F.col("line_no") == 2, F.lit(names)).otherwise(F.col("line"))
+        moved = lines.filter(F.col("f") == n).select("file", (F.col("line_no") - 2).alias("line_no"), header.alias("line"))
+        parts.append(dl.parse_with_config(moved, config, AS_OF)[0])
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("S8_mapping_messages", "file string, warnings string, errors string", """
 SELECT DISTINCT file, 'Column ''When'' not found for field ''date''' AS warnings, 'Date column mapping is required' AS errors FROM csv_lines
 """)
