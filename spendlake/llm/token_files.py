@@ -1,6 +1,6 @@
 """Token ids in bit-packed binary files.
 
-A file holds the ids of documents in ascending order of doc_id, every id in the fewest bits that the
+A file holds the ids of documents in ascending order of doc_id, or in a given order, every id in the fewest bits that the
 vocabulary needs. Ids come in blocks of BLOCK that start at byte boundaries; the footer has the byte
 offset of each block and the first id of each document, so any document or id range is read by
 seeking to its blocks and unpacking them with numpy. Layout, little-endian:
@@ -253,18 +253,19 @@ def encoder(path: str) -> Encoder:
 MANIFEST = "shard int, file string, bits int, n_docs bigint, n_ids bigint"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: tuple[str, ...] = ()) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into token files below ``path``; returns and stores the manifest.
 
-    Files are ranges of doc_id, null first, equal ids in the order of a hash of their texts; ``start``
+    Files are ranges of the columns ``order``, and within these of doc_id, null first, equal ids in the order of a hash of their texts; ``start``
     in the manifest is the number of ids in the files before. A null text is empty: its document
     is the end id alone. Repeated rows are documents of their own. An empty table gives no file.
     Other columns are not read. A task writes a file under a new name, so a repeated attempt
     leaves at most a file that no manifest names.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(text_key("text")).alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(text_key("text")).alias("tie"), *(F.col(c).alias(f"__{c}") for c in order))
+    by = [*(f"__{c}" for c in order), "doc_id", "tie"]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)

@@ -506,6 +506,15 @@ def test_pipeline_stage_by_stage(spark, documents):
     same(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect()), brute.token_rows(pairs(mixed), public_tokenizer()))
 
 
+def test_pipeline_mixes_the_files(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text", "explode(sequence(1, 5))").drop("col")
+    got = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, docs, SF_DIR).orderBy("start").collect()]
+    assert Counter(got) == {k: 5 for k in range(200)}
+    assert sum(a == b for a, b in zip(got, got[1:])) < 50  # 5 are expected, and 800 if copies stand together
+    again = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, docs.repartition(7), SF_DIR).orderBy("start").collect()]
+    assert again == got
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, documents):
     for docs in (odd.select(documents.columns), none.select(documents.columns)):
         for _, stage in corpus_pipeline.STAGES:
