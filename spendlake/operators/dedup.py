@@ -128,6 +128,7 @@ def remove_duplicates(
        the chunks after it; blocks advance together.
 
     A row without a scope, direction, day or amount is like no other and stays.
+    ``order`` is an integer, and no two rows of a scope share one.
     """
     rows = _content(df)
     needed = [*scope, "transaction_type", "_day", "_cents"]
@@ -148,9 +149,9 @@ def remove_duplicates(
     sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     sized = blocked.join(sizes, "_block").select("_block", "_rep", "_n", "_cents", "_desc", "_ref")
 
-    alone = sized.filter("_n = 1").select("_rep", F.lit(True).alias("is_kept"))
+    alone = sized.filter("_n = 1").select("_block", "_rep", F.lit(True).alias("is_kept"))
     small = sized.filter((F.col("_n") > 1) & (F.col("_n") <= max_chunk))
-    flag_schema = "_rep bigint, is_kept boolean"
+    flag_schema = "_block bigint, _rep bigint, is_kept boolean"
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted by block and order: the kept rows live for one block.
@@ -161,7 +162,7 @@ def remove_duplicates(
                 if b != block:
                     block, kept_rows = b, []
                 flags.append(_keep(c, desc, ref, kept_rows, threshold, cents))
-            yield pd.DataFrame({"_rep": pdf["_rep"], "is_kept": flags})
+            yield pd.DataFrame({"_block": pdf["_block"], "_rep": pdf["_rep"], "is_kept": flags})
 
     in_order = small.repartition("_block").sortWithinPartitions("_block", "_rep")
     decided = alone.unionByName(in_order.mapInPandas(decide, flag_schema))
@@ -169,7 +170,7 @@ def remove_duplicates(
     total = large.count()
     if total:
         decided = decided.unionByName(_decide_large(large, total, threshold, cents, max_chunk))
-    fate = reps.join(decided, "_rep", "left")
+    fate = blocked.join(decided, ["_block", "_rep"], "left")
     return (
         rows.join(fate.select(*same, "_rep", "is_kept"), same)
         .withColumn("is_kept", F.col("is_kept") & (F.col(order) == F.col("_rep")))
@@ -201,7 +202,7 @@ def _decide_large(large: DataFrame, total: int, threshold: float, cents: int, ma
     results = None
     for k in range(1, rounds + 1):
         now = checkpointed(pending.filter(F.col("_chunk") == k).groupBy("_block").applyInPandas(decide, schema))
-        flags = now.select("_rep", "is_kept")
+        flags = now.select("_block", "_rep", "is_kept")
         if k < rounds:
             later = pending.filter(F.col("_chunk") > k)
             targets = later.select(F.col("_block").alias("k_block"), F.col("_chunk").alias("k_chunk")).distinct()
@@ -212,12 +213,20 @@ def _decide_large(large: DataFrame, total: int, threshold: float, cents: int, ma
                 .cogroup(spread.groupBy("k_block", "k_chunk"))
                 .applyInPandas(survivors, T.StructType(later.schema.fields + [T.StructField("is_kept", T.BooleanType())]))
             )
-            flags = flags.unionByName(tested.filter("NOT is_kept").select("_rep", "is_kept"))
+            flags = flags.unionByName(tested.filter("NOT is_kept").select("_block", "_rep", "is_kept"))
             pending = tested.filter("is_kept").drop("is_kept")
         results = flags if results is None else results.unionByName(flags)
     return results
 
 
+def without_repeated_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed statement rows without near duplicates in their file: (rows, messages per file that lost some)."""
+    flagged = remove_duplicates(parsed.withColumn("transaction_date", F.col("date").cast("timestamp")), ("file",), "line_no")
+    n = F.count(F.lit(1)).cast("string")
+    messages = removed(flagged).groupBy("file").agg(F.array(F.concat(F.lit("Removed "), n, F.lit(" duplicate transactions"))).alias("warnings"))
+    return kept(flagged).select(parsed.columns), messages
+
+
 def kept(flagged: DataFrame) -> DataFrame:
     return flagged.filter("is_kept").drop("is_kept")
 

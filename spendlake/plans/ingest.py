@@ -594,12 +594,17 @@ def _(i: Inputs):
     return store.job_transactions(_stored(i), "job7")
 
 
+def uploaded(i: Inputs, lines):
+    """(rows to store, messages per file) of uploaded statement lines; near duplicates in a file are removed."""
+    parsed, messages = dedup.without_repeated_lines(store.stage(dl.parse_lines(lines, AS_OF), scratch(i, "parsed")))
+    return dl.to_stored(parsed, F.lit(7).cast("bigint"), F.col("file"), store.source_of(F.lit(".csv"))), messages
+
+
 @query("S36_process_upload", "txn_id bigint, user_id bigint, amount double, transaction_type string, category_id bigint, merchant_name string, raw_data string")
 def _(i: Inputs):
     from spendlake.operators.categorize import extract_merchant
 
-    parsed = dl.parse_lines(i.csv_lines, AS_OF)
-    rows = dl.to_stored(parsed, F.lit(7).cast("bigint"), F.col("file"), store.source_of(F.lit(".csv")))
+    rows, _messages = uploaded(i, i.csv_lines)
     # Parsing is done once; the categorisation stages read the staged rows.
     staged = store.stage(rows, scratch(i, "upload"))
     named = extract_merchant(staged, "txn_id", i.merchant_keywords).withColumn("merchant_name", F.coalesce("merchant", "description")).drop("merchant")

@@ -175,3 +175,16 @@ def test_large_files_are_read_whole(spark, tmp_path):
     assert found.select("length").first()[0] > files.MAX_PARSE_BYTES
     assert files.to_lines(found).count() == 1002
     assert files.validate_files(found).select("issues").first()[0] == ["File exceeds maximum size (50MB)"]
+
+
+def test_upload_removes_repeated_lines(spark, inputs):
+    from spendlake.plans.ingest import uploaded
+
+    head = "Date,Description,Amount,Type,Balance"
+    row, other = "01/02/2000,GROCERY SHOP,12.50,DR,90.00", "02/02/2000,TAXI,7.00,DR,83.00"
+    files = {"a": [head, row, row, other, row], "b": [head, other, row], "c": [head, row, other, other]}
+    lines = [(name, n, line) for name, own in files.items() for n, line in enumerate(own)]
+    rows, messages = uploaded(inputs, spark.createDataFrame(lines, "file string, line_no int, line string"))
+    got = sorted((r["upload_batch_id"], float(r["amount"])) for r in rows.collect())
+    assert got == [(f, a) for f in "abc" for a in (7.0, 12.5)]
+    assert {r["file"]: r["warnings"] for r in messages.collect()} == {"a": ["Removed 2 duplicate transactions"], "c": ["Removed 1 duplicate transactions"]}
