@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, suffix_tree, token_counts, token_files, warc
+from spendlake.llm import decontaminate, embeddings, language, mixing, ring, simhash, spelling, spotsigs, suffix_tree, token_counts, token_files, warc, whitening
 from spendlake.llm.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,24 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint_text(F.col("signed")).alias("fingerprint"),
+        spotsigs.fingerprint_text(F.col("edited_signed")).alias("edited_fingerprint"), "near_edited", "near_next",
+        spotsigs.length_partition(F.size("signed")).alias("length_partition"),
+    )
+
+
+@query
+def op12_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")

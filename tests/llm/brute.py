@@ -171,3 +171,70 @@ def copies(rows, temperature=0.7, seed=17):
             below += p
         out[doc_id, text, source] += n
     return +out
+
+
+def variants(docs, least_length=6, least_count=5, ratio=5, typo=199):
+    """[(word, n, n_near, form, form_n, root)] of (doc_id, text)."""
+    counts = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = run.encode().translate(LOW).decode()
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % typo == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            counts[word] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+    near = {w: set() for w in words}
+    holes = {}
+    for w in words:
+        for k in range(len(w)):
+            holes.setdefault((k, w[:k] + w[k + 1 :]), []).append(w)  # replaced
+            if w[:k] + w[k + 1 :] in words:
+                near[w].add(w[:k] + w[k + 1 :])
+                near[w[:k] + w[k + 1 :]].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return [(w, n, len(near[w]), form[w], words.get(form[w]), root(w)) for w, n in words.items()]
+
+
+def whitened(vectors, components=4):
+    """[(vec_id, n, deviation, coordinates)], explained of (vec_id, embedding); coordinates up to their signs."""
+    rows = [(i, [math.floor(256 * float(c)) for c in v]) for i, v in vectors if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    dim = max((len(v) for _, v in rows), default=0)
+    rows = [(i, [*v, *[0] * (dim - len(v))]) for i, v in rows]
+    fit = sorted({tuple(v) for _, v in rows})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    z = [[n * c - s for c, s in zip(v, sums)] for v in fit]
+    cov = np.array([[sum(r[i] * r[j] for r in z) / n**3 for j in range(dim)] for i in range(dim)])
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    out = [(i, n, sum((n * c - s) ** 2 for c, s in zip(v, sums)), (np.array(v) - np.array(sums) / n) @ vectors / np.sqrt(values)) for i, v in rows]
+    return out, values / np.trace(cov)
+
+
+def spots(text, anchors, chain=2):
+    """The set of a text's signatures, in words."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        after = [x for x in words[i + 1 :] if x not in anchors][:chain]
+        if w in anchors and len(after) == chain:
+            out.add((w, *after))
+    if out or not words:
+        return out
+    return {tuple(words[k : k + chain + 1]) for k in range(max(1, len(words) - chain))}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
