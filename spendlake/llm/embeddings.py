@@ -33,8 +33,9 @@ SAMPLE = 2048
 HOME = 4096
 #: Most core cells.
 CORES = 512
-#: Float32 products this near to the threshold are decided in double precision.
+#: Float32 products this near to the threshold are decided in double precision: four rounding errors for each dimension, BAND at least.
 BAND = 1e-5
+ROUNDING = 4 * 2.0**-24
 ROWS = 512
 
 
@@ -118,8 +119,9 @@ class Cell:
 
     def _linked(self, x: np.ndarray, low: np.ndarray) -> np.ndarray:
         product = low @ self.low.T
-        linked = product >= self.cosine + BAND
-        i, j = np.nonzero(~linked & (product >= self.cosine - BAND))
+        band = max(BAND, ROUNDING * x.shape[1])
+        linked = product >= self.cosine + band
+        i, j = np.nonzero(~linked & (product >= self.cosine - band))
         linked[i, j] = np.einsum("ij,ij->i", x[i], self.x[j]) >= self.cosine
         return linked
 
@@ -147,7 +149,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reach. Vectors that are null, empty or zero, or that have a null or non-finite component, link with nothing. Of two
     lengths, the shorter vector counts as if zeros followed. Equal vectors are one node (told by a 64-bit
     hash) with a number of copies, so copies are never compared. Rows that repeat a vec_id are rows of their own;
-    a null vec_id is a component of its own unless it links to others. An empty table gives an empty result.
+    a null vec_id is a component of its own unless it links to others. An empty table gives an empty result. Other columns are not read.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     fine = F.coalesce(

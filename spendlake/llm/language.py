@@ -9,13 +9,13 @@ fill of a filter implies, and the language with the most decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -25,6 +25,8 @@ from spendlake.llm.shared import text_key, without
 
 #: Labelled texts that training takes of one language, in expectation: its rows are drawn by a hash of id and text.
 SAMPLE = 4000
+#: Labels that are learned, the most frequent ones.
+LANGUAGES = 1024
 #: A language's filter holds grams of at least this share, so at most 1 / MIN_SHARE of them.
 MIN_SHARE = 2e-5
 #: Slots of the filter table, a power of two, and hashes of a gram.
@@ -35,7 +37,7 @@ UNKNOWN = "und"
 _FOLD = np.where((LOWER >= 97) & (LOWER <= 122) | (LOWER >= 128), LOWER, 32).astype(np.uint8)
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_NOT_LETTER = re.compile(r"[\W\d_]*")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +47,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """
     folded = np.insert(_FOLD[data], offsets, 32)
     bounds = offsets + np.arange(len(offsets))
-    keep = np.ones(len(folded), bool)
-    keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
+    blank = folded == 32
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    run = np.cumsum(first)
+    at_bound = np.zeros(run[-1] + 1, bool)
+    at_bound[run[bounds]] = True
+    keep = ~blank | first & ~at_bound[run]
     keep[bounds] = True
     folded, bounds = folded[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
     # text i is folded[bounds[i]: bounds[i + 1] + 1]: the blank between two texts belongs to both
@@ -99,7 +106,7 @@ class Model:
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])[offsets]
         named = np.diff(letters) > 0
         for i in np.flatnonzero(~named & (np.diff(offsets) > 0)):
-            named[i] = not _NOT_LETTER.fullmatch(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+            named[i] = bool(_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode()))
         if not self.languages:
             return [UNKNOWN] * texts, np.zeros(texts)
         share = np.clip(share, 0, 1)
@@ -115,17 +122,18 @@ def _slot(found: np.ndarray, h: np.uint32) -> np.ndarray:
 def train(labelled: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE) -> Model:
     """A model from ``labelled`` (doc_id, text, lang); rows with a null text or label teach nothing.
 
-    Every language is drawn down to ``sample`` texts in expectation. The driver gets the count of
-    each language and at most ``1 / min_share`` grams of each. Without a labelled row the model
+    Every language is drawn down to ``sample`` texts in expectation; of more labels than LANGUAGES the most frequent are learned. The driver gets the count of
+    each of these and at most ``1 / min_share`` grams of each. Without a labelled row the model
     knows no language.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
         return Model.build([], [])
-    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))])[F.col("lang")]
-    drawn = labelled.where(F.shiftrightunsigned(F.xxhash64(text_key("doc_id"), "text"), 11) < rate * float(1 << 53))
+    rates = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample / sizes[lang])) for lang in languages], "__lang string, rate double")
+    drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("__lang"))  # at most LANGUAGES rows
+    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64(text_key("doc_id"), "text"), 11) < F.col("rate") * float(1 << 53))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {lang: k for k, lang in enumerate(languages)}

@@ -2,7 +2,7 @@
 
 A source with target share ``w`` of ``budget`` bytes that holds ``b`` bytes gets the repetition rate
 ``w * budget / b``. A document's number of copies is the inverse of the Poisson distribution of that
-rate at a uniform number hashed from (seed, doc_id); every copy then gets a hashed shuffle key, and
+rate at a uniform number hashed from (seed, doc_id, text); every copy then gets a hashed shuffle key, and
 the copies are sorted globally by it.
 """
 
@@ -67,7 +67,8 @@ def uniform(*parts: F.Column | str, seed: int = SEED) -> F.Column:
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, shuffle: bool = True) -> DataFrame:
     """The copies of ``docs``: all its columns, rate, n_copies, copy (1, 2, ...) and shuffle_key, in shuffled order.
 
-    A null doc_id hashes as the empty text; rows that repeat a doc_id get the same number of copies.
+    A null doc_id and a null text hash as the empty text; documents without an id are told by their texts, and only rows that repeat both get the
+    same number of copies and the same keys.
     Null and empty texts weigh one byte. An empty table gives an empty result. Columns of ``docs``
     named as a result column are replaced. A hot source is no hot key: the rates are joined as a
     written table of one row per source, which Spark broadcasts if its size allows or else joins with skew splitting.
@@ -75,9 +76,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     results = ("rate", "n_copies", "copy", "shuffle_key")
     docs = without(docs, *results)
     tables = stored(poisson_tables(source_rates(docs, weights, temperature, epochs)), "rates").select(F.col("source").alias("__of"), "rate", "cdf")
-    out = docs.join(tables, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
-    u = uniform(text_key("doc_id"), seed=seed)
+    # a source that is the same in all rows must not be folded into the join, which then loses its column
+    out = docs.withColumn("__source", F.when(F.spark_partition_id() >= 0, F.col("source")))
+    out = out.join(tables, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of", "__source").withColumn("__text", F.md5(text_key("text")))
+    u = uniform(text_key("doc_id"), F.col("__text"), seed=seed)
     out = out.withColumn("__u", u).withColumn("n_copies", F.expr("size(filter(cdf, c -> c < __u))")).where("n_copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("cdf", "__u")
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), text_key("doc_id"), F.col("copy").cast("string"))))
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), text_key("doc_id"), F.col("__text"), F.col("copy").cast("string")))).drop("__text")
     return out.orderBy("shuffle_key", "doc_id") if shuffle else out

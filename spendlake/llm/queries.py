@@ -70,7 +70,7 @@ points AS (
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM points),
 tables AS (SELECT source, list(below ORDER BY k) AS cdf FROM cdf GROUP BY source),
 counted AS (
-  SELECT d.*, r.rate, len(list_filter(t.cdf, lambda c: c < (CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, {mixing.DIGITS}) AS BIGINT) + 0.5) / {16**mixing.DIGITS}.0)) AS n_copies
+  SELECT d.*, r.rate, len(list_filter(t.cdf, lambda c: c < (CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(d.text, ''))), 1, {mixing.DIGITS}) AS BIGINT) + 0.5) / {16**mixing.DIGITS}.0)) AS n_copies
   FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT {columns}
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM counted WHERE n_copies > 0)"""
@@ -78,7 +78,7 @@ FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM counted WHERE
 
 ORACLES["op3_source_mixing"] = mixing_sql(
     "documents",
-    f"doc_id, source, text, round(rate, 9) AS rate, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy AS BIGINT) AS copy, md5('order{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key",
+    f"doc_id, source, text, round(rate, 9) AS rate, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy AS BIGINT) AS copy, md5('order{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || CAST(copy AS VARCHAR)) AS shuffle_key",
 )
 
 

@@ -23,6 +23,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files that one task reads.
+TASK = 64 << 20
+
+
+def spread(parts: DataFrame, size: str, *keys: str) -> DataFrame:
+    """Rows that name parts of files, ``size`` bytes each, dealt over tasks of about TASK bytes, or fewer where cores would idle.
+
+    The number of partitions is given, so adaptive execution does not merge them: the rows are small, what they name is not.
+    """
+    n, total = parts.agg(F.count("*"), F.sum(F.expr(size))).first()
+    cores = parts.sparkSession.sparkContext.defaultParallelism
+    return parts.repartition(max(1, min(n, max((total or 0) // TASK, 4 * cores))), *keys)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder that Spark names by a URI or a plain path."""
     from pyarrow import fs

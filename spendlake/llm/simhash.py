@@ -1,16 +1,19 @@
 """SimHash near-duplicates with pivot distance tables.
 
-A text's fingerprint has a bit for each position that is set in over half of its shingles' hashes. For
-every distinct fingerprint the Hamming distances to PIVOTS reference fingerprints are computed once; by
-the triangle inequality two fingerprints within LIMIT bits differ by LIMIT at most in each of them.
-
-Which pairs meet: the 64 bits are cut into LIMIT + 2 blocks, of which a linked pair has two at least
-without a difference. A reference and its copy with all bits outside a block flipped give, by their
-distances' sum, the distance inside the block; references that differ in one bit each tell the block's
-bits. So equal block distances are equal bits, and the cell of a fingerprint is (two blocks, their bits),
-one for each two blocks. In a cell, fingerprints run in the order of their first pivot distance: the
-scan of one ends where that distance is LIMIT farther, the other coordinates discard, and only what is
-left is compared bit by bit. A task keeps a spanning forest of its links, not the links.
+A text's fingerprint has a bit for each position that is set in over half of its shingles' hashes. Of every distinct
+fingerprint a row of Hamming distances to many reference fingerprints is computed once. By the triangle inequality two
+fingerprints within LIMIT bits differ by LIMIT at most in each of them, so pairs are discarded by the largest difference of
+their rows, and only what is left is compared bit by bit.
+
+The same rows tell which pairs meet. The references come in families: a random one, and its copies with all bits of one
+of several blocks flipped. The distance to a copy less that to the first is the block's length less twice the distance
+inside the block: a coordinate of that block alone. Two fingerprints within LIMIT bits have at least two of LIMIT + 2 blocks
+without a difference, and there all coordinates agree. So a cell is two blocks and their coordinates in all families, and pairs meet in a cell.
+In a cell, fingerprints run in the order of their first pivot distance, and the scan of one ends where that distance is LIMIT farther.
+A task keeps a spanning forest of its links, not the links.
+
+``deduplicate`` takes fingerprints farther apart as candidates only, and exact Jaccard of the shingles decides. Candidates that a forest
+holds are judged; where one fails, its candidates are joined anew without it, until none fails.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from spendlake.llm.scan import LOWER, buffers, pieces
+from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
 from spendlake.llm.shared import Forest, components, stored, text_key, without
 
 SHINGLE = 4
 LIMIT = 4
 SEED = 42
-#: Distances of 7 bits that fit into a long.
-PIVOTS = 9
+#: Families of references; a family is a fingerprint and a copy of it for each block.
+FAMILIES = 8
 #: Fingerprints of a cell that are compared in one task; a larger cell is cut into pairs of parts.
 CELL = 4096
 #: Hashes whose bits are summed together.
 BATCH = 1 << 15
+#: For ``deduplicate``: words of a shingle, likeness of near copies, bits of candidates and blocks of which two agree.
+NEAR_SHINGLE, NEAR, NEAR_LIMIT, NEAR_BLOCKS = 5, 0.8, 14, 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -57,98 +62,144 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > last).view(">i8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
+def fingerprints(shingle: int = SHINGLE):
     """Fingerprints of whole texts; a null or a text without words gives 0."""
-    out = []
-    for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
-        raw, bounds = LOWER[data].tobytes(), offsets.tolist()
-        out += [fingerprint(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
-    return pd.Series(out, dtype="int64")
 
+    @F.pandas_udf(LongType())
+    def of_texts(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
+            raw, bounds = LOWER[data].tobytes(), offsets.tolist()
+            out += [fingerprint(raw[a:b], shingle) for a, b in zip(bounds, bounds[1:])]
+        return pd.Series(out, dtype="int64")
+
+    return of_texts
+
+
+def blocks(n: int) -> list[int]:
+    """The bits of each of ``n`` blocks."""
+    cuts = np.linspace(0, 64, n + 1).astype(int)
+    return [((1 << int(b)) - 1) & ~((1 << int(a)) - 1) for a, b in itertools.pairwise(cuts)]
+
+
+def references(n: int) -> np.ndarray:
+    """(family, 1 + blocks): random fingerprints of a fixed seed, and after each its copies with the bits of one block flipped."""
+    first = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, FAMILIES, dtype=np.uint64, endpoint=False)
+    return first[:, None] ^ np.array([0, *blocks(n)], np.uint64)
 
-def references(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints: random bits of a fixed seed."""
-    return np.random.Generator(np.random.PCG64(11)).integers(-(1 << 63), (1 << 63) - 1, n).tolist()
 
+def pivot_table(fp: np.ndarray, n: int) -> np.ndarray:
+    """(fingerprint, family, 1 + blocks): Hamming distances to all references."""
+    return np.bitwise_count(fp.view(np.uint64)[:, None, None] ^ references(n))
 
-def pivot_table() -> F.Column:
-    """The distances of ``fp`` to all references in one long, 7 bits each, the first in the lowest."""
-    table = F.lit(0).cast("bigint")
-    for k, r in enumerate(references()):
-        table = table.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("bigint"), 7 * k))
-    return table
 
+def cell_keys(table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each two blocks their number, and a hash of their coordinates in all families."""
+    coordinates = table[:, :, 1:].astype(np.int64) - table[:, :, :1]
+    odd = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, coordinates.shape[1:]) * 2 + 1
+    of_block = (coordinates * odd).sum(axis=1)
+    of_block = (of_block ^ of_block >> 29) * np.int64(0x1B873593CC9E2D51)
+    for k, (a, b) in enumerate(itertools.combinations(range(of_block.shape[1]), 2)):
+        yield k, (of_block[:, a] ^ of_block[:, a] >> 31) * 3 + of_block[:, b]
 
-def masks(limit: int = LIMIT) -> list[int]:
-    """The bits of every two of ``limit + 2`` blocks, as signed integers."""
-    cuts = np.linspace(0, 64, limit + 3).astype(int)
-    blocks = [((1 << int(b)) - 1) & ~((1 << int(a)) - 1) for a, b in itertools.pairwise(cuts)]
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in itertools.combinations(blocks, 2))]
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two nodes, whatever their order."""
+    return np.minimum(a, b) * np.int64(0x2545F4914F6CDD1D) + np.maximum(a, b)
 
-def _near(group: np.ndarray, part: np.ndarray, across: np.ndarray, fp: np.ndarray, table: np.ndarray, limit: int) -> np.ndarray:
+
+def _near(group: np.ndarray, part: np.ndarray, across: np.ndarray, node: np.ndarray, fp: np.ndarray, bad: np.ndarray, limit: int, n: int) -> np.ndarray:
     """The label of each row: the first of the rows that links within its group connect it with."""
     forest = Forest(len(fp))
-    distance = [(table >> 7 * k & 127).astype(np.int16) for k in range(PIVOTS)]
+    table = pivot_table(fp, n).reshape(len(fp), -1).astype(np.int8)
+    order = np.lexsort((table[:, 0], group))
+    group, part, across, node, fp, table = (x[order] for x in (group, part, across, node, fp, table))
+    first = np.ascontiguousarray(table[:, 0])
     a, step = np.arange(len(fp)), 1
     while True:
         a = a[a + step < len(fp)]
         b = a + step
-        a = a[(group[a] == group[b]) & (distance[0][b] - distance[0][a] <= limit)]
+        a = a[(group[a] == group[b]) & (first[b] - first[a] <= limit)]
         if not len(a):
-            return forest.label
+            break
         x = a[~across[a] | (part[a] != part[a + step])]
-        for d in distance[1:]:
-            x = x[np.abs(d[x] - d[x + step]) <= limit]
+        for column in range(n + 1, table.shape[1], n + 1) if limit <= LIMIT else ():  # the heads of families alone discard nearly all
+            x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
+        if limit <= LIMIT:
+            x = x[np.abs(table[x] - table[x + step]).max(axis=1, initial=0) <= limit]
         x = x[np.bitwise_count((fp[x] ^ fp[x + step]).view(np.uint64)) <= limit]
+        if len(bad):
+            x = x[~np.isin(_pair(node[x], node[x + step]), bad)]
         forest.union(x, x + step)
         step += 1
+    label = np.empty(len(fp), np.int64)
+    label[order] = order[forest.label]
+    return label
+
 
+def links(nodes: DataFrame, limit: int = LIMIT, n: int = LIMIT + 2, cell: int = CELL) -> DataFrame:
+    """(a, b): links that connect the ``node`` of ``nodes`` (node, fp, bad) as all pairs that meet within ``limit`` bits do.
+
+    With ``n`` blocks, limit + 2 or more, all pairs within ``limit`` meet. ``bad`` holds the nodes that a node is not to be linked with.
+    """
 
-def links(fps: DataFrame, limit: int = LIMIT, cell: int = CELL) -> DataFrame:
-    """(a, b): links that connect the distinct ``fp`` of ``fps`` as all pairs within ``limit`` bits do."""
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(limit))]))
-    rows = fps.select("fp", pivot_table().alias("table"), cells.alias("c")).select("fp", "table", "c.mask", "c.bits")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("mask", "bits"))).where("n > 1")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                rows = batch.slice(at, BATCH)
+                for k, key in cell_keys(pivot_table(rows.column(1).to_numpy(), n)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *rows.columns], names=["blocks", "key", "node", "fp", "bad"])
+
+    rows = nodes.select("node", "fp", "bad").mapInArrow(deal, "blocks int, key bigint, node bigint, fp bigint, bad array<bigint>")
     # a cell over the limit: every fingerprint is in one part and meets all parts, two in a task
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    large = rows.groupBy(F.col("blocks").alias("__blocks"), F.col("key").alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    rows = rows.join(large, (F.col("blocks") == F.col("__blocks")) & (F.col("key") == F.col("__key")), "left")
+    rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("mask", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp", "table")
-    keys = ["mask", "bits", "low", "high"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("table").bitwiseAND(F.lit(127)))
+    rows = rows.select("blocks", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "fp", "bad")
+    keys = ["blocks", "key", "low", "high"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
+        bad_a, bad_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
                 rest = [np.concatenate(x) for x in zip(rest, new)] if rest else new
+                lists = batch.column(7)
+                sizes = np.diff(np.asarray(lists.offsets))
+                bad_a, bad_b = np.append(bad_a, np.repeat(new[5], sizes)), np.append(bad_b, lists.flatten().to_numpy())
             if not rest or not len(rest[0]):
                 continue
-            mask, bits, low, high, part, fp, table = rest
-            begins = np.concatenate([[True], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            blocks_of, key, low, high, part, node, fp = rest
+            begins = np.concatenate([[True], (blocks_of[1:] != blocks_of[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             end = len(fp) if batch is None else int(np.flatnonzero(begins)[-1])  # the last cell may go on in the next batch
             group = np.cumsum(begins)[:end]
-            label = _near(group, part[:end], (low != high)[:end], fp[:end], table[:end], limit)
+            label = _near(group, part[:end], (low != high)[:end], node[:end], fp[:end], np.unique(_pair(bad_a, bad_b)), limit, n)
             linked = np.flatnonzero(label != np.arange(end))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
             rest = [x[end:] for x in rest]
+            left = np.isin(bad_a, rest[5])
+            bad_a, bad_b = bad_a[left], bad_b[left]
 
     return rows.mapInArrow(task, "a bigint, b bigint")
 
 
+NO_NODES = "cast(array() AS array<bigint>)"
+
+
 def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links of ``limit`` bits reach, null where none of those rows
     has a doc_id. Texts without words, and null texts, have fingerprint 0 and link like any other.
     Rows that repeat a doc_id or a text are rows of their own. An empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies is joined by one aggregation.
     """
-    prints = stored(docs.select("doc_id", F.xxhash64(text_key("text")).alias("text_key"), fingerprints("text").alias("fp")), "prints")
+    prints = stored(docs.select("doc_id", fingerprints()("text").alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(nodes, limit))
+    linked = components(links(nodes.select(F.col("fp").alias("node"), "fp", F.expr(NO_NODES).alias("bad")), limit, limit + 2))
     nodes = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     nodes = stored(nodes, "nodes")
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -160,17 +211,91 @@ def fingerprint_hex() -> F.Column:
     return F.lpad(F.lower(F.hex("fp")), 16, "0")
 
 
-def deduplicate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row of each group of ``docs``: the smallest doc_id, of rows that repeat it the smallest text hash, of equal rows one."""
-    found = groups(docs, limit)
-    # a group whose rows all lack a doc_id is told by its fingerprint's component only, so it keeps one row of each fingerprint
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    heads = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(rank).alias("k"))
-    heads = stored(heads.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")), "heads")
-    docs = without(docs, "__id", "__key")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_key("text")) == F.col("__key"))
-    kept = docs.join(heads, same)
-    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["__id", "__key"])
-    return kept.drop("__id", "__key")
+def shingle_sets(texts: pa.Array, shingle: int = NEAR_SHINGLE) -> list[bytes]:
+    """Of each text the sorted 64-bit hashes of its different shingles, as bytes; of fewer words, the sequence of them is the one shingle."""
+    out = []
+    for _, _, data, offsets in pieces(*buffers(texts)):
+        low = LOWER[data]
+        starts, ends, before = words(~SPACE[low], offsets)
+        own = hashes(low, starts, ends).tolist() if len(starts) else []
+        for a, b in itertools.pairwise(before.tolist()):
+            found = np.array(own[a:b], np.uint64)
+            size = min(shingle, len(found))
+            mixed = np.zeros(len(found) - size + 1 if size else 0, np.uint64)
+            for k in range(size):
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + found[k : len(found) - size + 1 + k]
+            out.append(np.unique(mixed).tobytes())
+    return out
+
+
+def judged(edges: DataFrame, docs: DataFrame, least: float = NEAR, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(a, b, near) of ``edges`` (a, b): whether the texts of two nodes of ``docs`` (node, text) have Jaccard ``least`` over their shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), shingle), pa.binary())], names=["node", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    asked = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
+    texts = docs.select("node", "text").join(asked, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"])
+    found = stored(texts.mapInArrow(sets, "node bigint, shingles binary"), "shingles")
+    both = edges.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(judge, "a bigint, b bigint, near boolean"), "judged")
+
+
+def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR, limit: int = NEAR_LIMIT, n: int = NEAR_BLOCKS) -> DataFrame:
+    """(node, component): the texts of ``nodes`` (node, fp) that near pairs connect, those without one left out; ``texts`` has (node, text).
+
+    Every candidate that a spanning forest holds is judged. Where some fail, the nodes of their forests are joined anew without the
+    failed pairs; each pair is judged once at most, and the rounds end when no candidate fails.
+    """
+    active, good, bad = nodes.select("node", "fp", F.expr(NO_NODES).alias("bad")), None, None
+    while True:
+        edges = stored(links(active, limit, n).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+        if good is not None:
+            edges = stored(edges.join(good, ["a", "b"], "left_anti"), "candidates")
+        found = judged(edges, texts, least)
+        kept = found.where("near").select("a", "b")
+        good = kept if good is None else stored(good.union(kept), "near")
+        failed = found.where("NOT near").select("a", "b")
+        if failed.isEmpty():
+            return components(good)
+        bad = failed if bad is None else stored(bad.union(failed), "failed")
+        # the forests that a failed pair belongs to, whole
+        forest = components(edges.union(good))
+        torn = forest.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+        again = forest.join(torn, "component", "left_semi").select("node")
+        of_node = bad.union(bad.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("bad"))
+        active = nodes.select("node", "fp").join(again, "node").join(of_node, "node", "left").select("node", "fp", F.coalesce("bad", F.expr(NO_NODES)).alias("bad"))
+        active = stored(active, "torn")
+
+
+def deduplicate(docs: DataFrame, least: float = NEAR, limit: int = NEAR_LIMIT, n: int = NEAR_BLOCKS) -> DataFrame:
+    """One row of each group of near texts of ``docs``: the smallest doc_id, of rows that repeat it the smallest text hash, of equal rows one.
+
+    Texts are near if their shingles of NEAR_SHINGLE words have Jaccard ``least``; groups are what near pairs connect. Candidates are texts
+    within ``limit`` bits of fingerprint that agree in two of ``n`` blocks. Texts without words are one text. A group without a doc_id keeps one row.
+    """
+    key = F.when(F.trim(F.regexp_replace(text_key("text"), r"[\x09-\x0D]+", " ")) == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64("text"))
+    docs = without(docs, "__id", "__key", "__n")
+    prints = stored(docs.select("doc_id", key.alias("node"), fingerprints(NEAR_SHINGLE)("text").alias("fp")), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "nodes")
+    linked = near_texts(nodes, docs.select(key.alias("node"), "text"), least, limit, n).withColumnRenamed("node", "__key")
+    # of each text the row to keep, then of each group
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    rows = prints.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    rows = rows.join(linked, F.col("node") == F.col("__key"), "left").withColumn("component", F.coalesce("component", "node"))
+    heads = rows.groupBy("component").agg(F.min_by("n", rank).alias("n"), F.min(rank).alias("k"))
+    heads = stored(heads.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__key"), F.col("n").alias("__n")), "heads")
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
+    # rows that repeat both are few, and only they are shuffled
+    once = kept.where("__n = 1").drop("__id", "__key", "__n")
+    return once.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__key"]).drop("__id", "__key", "__n"))

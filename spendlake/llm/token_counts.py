@@ -2,7 +2,7 @@
 
 A flat file is nothing but fixed-width ids; a document ends with a separator id. The stream of all files is cut
 into blocks that are searched on their own, each with one vectorised comparison. A running maximum of the last
-separator over the blocks before (a prefix scan over one small row per block) then tells where the first
+separator over the blocks before (a prefix scan, inside each file first and then over the files) then tells where the first
 document of a block began, however many blocks it crosses.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlake.llm.scan import buffers, pieces
-from spendlake.llm.shared import filesystem, stored
+from spendlake.llm.shared import filesystem, spread, stored
 from spendlake.llm.token_files import PIECE, encoder
 
 #: Ids of a block.
@@ -63,25 +63,28 @@ def count_tokens(spark: SparkSession, path: str, end: int, block: int = BLOCK) -
     files = spark.read.schema(FILES).parquet(f"{path}/files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
-    parts = files.where("n_ids > 0").select("file", "width", "n_ids", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ids") - 1, F.lit(block).cast("bigint"))).alias("at"))
+    parts = files.where("n_ids > 0").select("shard", "file", "width", "n_ids", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ids") - 1, F.lit(block).cast("bigint"))).alias("at"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(path)
         for batch in batches:
-            for file, width, n, base, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, file, width, n, base, at in zip(*(c.to_pylist() for c in batch.columns)):
                 size = min(block, n - at)
                 with fs.open_input_file(f"{folder}/{file}") as source:
                     ids = np.frombuffer(source.read_at(size * width, at * width), f"<u{width}")
                 ends = np.flatnonzero(ids == end) + base + at + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([base + at]), pa.array([base + at + size]), pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))],
-                    names=["first", "stop", "last", "ends"],
+                    [pa.array([shard], pa.int32()), pa.array([base + at]), pa.array([base + at + size]), pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))],
+                    names=["shard", "first", "stop", "last", "ends"],
                 )
 
-    blocks = stored(parts.repartition("file", "at").mapInArrow(task, "first bigint, stop bigint, last bigint, ends array<bigint>"), "separators")
-    small = blocks.select("first", "stop", "last")
-    scan = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    known = small.withColumn("open", F.coalesce(F.max("last").over(scan), F.lit(0).cast("bigint"))).select(F.col("first").alias("of"), "open")
+    blocks = stored(spread(parts, f"least({block}, n_ids - at) * width", "file", "at").mapInArrow(task, "shard int, first bigint, stop bigint, last bigint, ends array<bigint>"), "separators")
+    small = blocks.select("shard", "first", "stop", "last")
+    of_files = small.groupBy(F.col("shard").alias("in_shard")).agg(F.max("last").alias("last"))  # a row per file
+    of_files = of_files.select("in_shard", F.max("last").over(Window.orderBy("in_shard").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    scan = Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    known = small.withColumn("within", F.max("last").over(scan)).join(of_files, F.col("shard") == F.col("in_shard"))
+    known = known.select(F.col("first").alias("of"), F.coalesce("within", "earlier", F.lit(0).cast("bigint")).alias("open"))
     found = blocks.join(known, F.col("first") == F.col("of"))
     starts = F.concat(F.array("open"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     whole = found.where("size(ends) > 0").withColumn("starts", starts).select(F.explode(F.arrays_zip("starts", "ends")).alias("d"))

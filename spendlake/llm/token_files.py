@@ -1,6 +1,6 @@
 """Token ids in bit-packed binary files.
 
-A file holds the ids of documents in ascending order of doc_id, or in a given order, every id in the fewest bits that the
+A file holds the ids of documents in ascending order of doc_id, or as they are stored, every id in the fewest bits that the
 vocabulary needs. Ids come in blocks of BLOCK that start at byte boundaries; the footer has the byte
 offset of each block and the first id of each document, so any document or id range is read by
 seeking to its blocks and unpacking them with numpy. Layout, little-endian:
@@ -23,11 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlake.llm.scan import buffers, hashes, pieces
-from spendlake.llm.shared import filesystem, text_key
+from spendlake.llm.shared import filesystem, spread, stored, text_key
 
 MAGIC = b"TOKBITS1"
 TRAILER = struct.Struct("<QQQII8s")
@@ -250,52 +251,82 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-MANIFEST = "shard int, file string, bits int, n_docs bigint, n_ids bigint"
+MANIFEST = "origin string, row bigint, shard int, file string, bits int, n_docs bigint, n_ids bigint"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: tuple[str, ...] = ()) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) into token files below ``path``; returns and stores the manifest.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) into token files below ``path``, in ascending order of doc_id; returns and stores the manifest.
 
-    Files are ranges of the columns ``order``, and within these of doc_id, null first, equal ids in the order of a hash of their texts; ``start``
+    Files are ranges of doc_id, null first, equal ids in the order of a hash of their texts; ``start``
     in the manifest is the number of ids in the files before. A null text is empty: its document
     is the end id alone. Repeated rows are documents of their own. An empty table gives no file.
     Other columns are not read. A task writes a file under a new name, so a repeated attempt
     leaves at most a file that no manifest names.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(text_key("text")).alias("tie"), *(F.col(c).alias(f"__{c}") for c in order))
-    by = [*(f"__{c}" for c in order), "doc_id", "tie"]
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(text_key("text")).alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return _write(ordered.select("doc_id", "text", F.lit("").alias("origin"), F.lit(0).cast("bigint").alias("row")), path, tokenizer, end_id)
+
+
+def write_stored(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """As ``write``, in the order in which ``docs`` are stored: by the names of their files, and rows as they stand in a file.
+
+    No row is shuffled: a part of a file that a task reads becomes a token file. Documents that do not come from Parquet files are stored first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stored(docs, "ordered")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_metadata.file_path").alias("origin"), F.col("_metadata.row_index").alias("row"))
+    return _write(rows, path, tokenizer, end_id)
+
+
+def _write(rows: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
+    """Token files of ``rows`` (doc_id, text, origin, row) as they come; rows of another origin, or not next to those before, begin another file."""
+    spark = rows.sparkSession
+    schema = pa.schema([("origin", pa.string()), ("row", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("bits", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code, shard = encoder(tokenizer), TaskContext.get().partitionId()
         bits = width(max(code.tokenizer.get_vocab_size(), end_id + 1))
-        shard, writer, place, sink = TaskContext.get().partitionId(), None, None, None
+        fs, folder = filesystem(path)
+        writer = sink = entry = None
+
+        def finished() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pylist([entry | {"n_docs": len(writer.docs), "n_ids": writer.n}], schema=schema)
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, stop, data, offsets in pieces(*buffers(batch.column(1)), PIECE):
-                if writer is None:
-                    fs, folder = filesystem(path)
+            origin, row = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            change = [k for k in range(1, batch.num_rows) if origin[k] != origin[k - 1] or not 0 <= row[k] - row[k - 1] <= 1]
+            for a, b in zip([0, *change], [*change, batch.num_rows]):
+                if a == b:
+                    continue
+                if writer is None or (origin[a], int(row[a])) not in (after, (after[0], after[1] - 1)):
+                    if writer is not None:
+                        yield finished()
                     fs.create_dir(folder, recursive=True)
-                    place = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex}.tok"
-                    sink = fs.open_output_stream(place)
+                    entry = {"origin": origin[a], "row": int(row[a]), "shard": shard, "file": f"ids-{shard:06d}-{uuid.uuid4().hex}.tok", "bits": bits}
+                    sink = fs.open_output_stream(f"{folder}/{entry['file']}")
                     writer = Writer(sink, bits)
-                got, before = code.encode(data, offsets)
-                writer.add(ids[first:stop], np.insert(got, before[1:], end_id), np.diff(before) + 1)
+                after = (origin[b - 1], int(row[b - 1]) + 1)
+                run = batch.slice(a, b - a)
+                ids = run.column(0).to_pylist()
+                for first, stop, data, offsets in pieces(*buffers(run.column(1)), PIECE):
+                    got, before = code.encode(data, offsets)
+                    writer.add(ids[first:stop], np.insert(got, before[1:], end_id), np.diff(before) + 1)
         if writer is not None:
-            writer.close()
-            sink.close()
-            name = place.rpartition("/")[2]
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "bits": bits, "n_docs": len(writer.docs), "n_ids": writer.n}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("bits", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield finished()
 
-    ordered.mapInArrow(task, MANIFEST).write.parquet(f"{path}/manifest")
+    rows.mapInArrow(task, MANIFEST).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per token file below ``path``: its shard, name, bits, counts and the ids before it."""
+    """One row per token file below ``path``: its place, name, bits, counts and the ids before it."""
     # a row per file; the window needs them in one task
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("origin", "row", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
 
 
@@ -315,8 +346,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 with fs.open_input_file(f"{folder}/{name}") as source:
                     yield from _documents(Reader(source), before, with_ids, pa.schema(kinds))
 
-    files = manifest(spark, path).select("file", "start")
-    return files.repartition("file").mapInArrow(task, schema)
+    files = manifest(spark, path).select("file", "start", "n_ids", "bits")
+    return spread(files, "n_ids * bits div 8", "file").select("file", "start").mapInArrow(task, schema)
 
 
 def _documents(file: Reader, before: int, with_ids: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -16,10 +16,10 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.shared import filesystem, stored, without
+from spendlake.llm.shared import filesystem, spread, stored
 
 #: Smaller payloads are always archived in full.
 LEAST = 100
@@ -168,7 +168,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file", "start", "size")
-    return parts.repartition("file", "start").mapInArrow(task, RECORDS)
+    return spread(parts, "size", "file", "start").mapInArrow(task, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -177,17 +177,23 @@ def assemble(records: DataFrame) -> DataFrame:
     A response or revisit is a capture, and requests and metadata records join it by the identifier they are
     concurrent to. Of several requests, or metadata records, of a capture the one with the smallest record id counts. Records
     that are concurrent to no capture give a row without a response; those that name none are left out.
-    A capture that is archived twice gives two rows.
+    A capture that is archived twice gives two rows. Records are read and shuffled once.
     """
-    main = records.where("record_type IN ('response', 'revisit')").select(
-        F.col("record_id").alias("capture_id"), "target_uri",
-        F.struct("record_type", "date", "refers_to", "payload_digest", "http_headers", "payload").alias("response"),
+    main, request, metadata = (F.col("record_type").isin(*kinds) for kinds in (("response", "revisit"), ("request",), ("metadata",)))
+    side = (request | metadata) & F.col("concurrent_to").isNotNull()
+    rows = records.where(main | side).withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")))
+    of = Window.partitionBy("capture_id")
+
+    def first(kind: F.Column, *columns: str) -> F.Column:
+        return F.min(F.when(kind, F.struct("record_id", *columns))).over(of)
+
+    rows = rows.select(
+        "capture_id", "target_uri", main.alias("main"), F.when(main, F.struct("record_type", "date", "refers_to", "payload_digest", "http_headers", "payload")).alias("response"),
+        first(request, "date", "http_headers").alias("request"),
+        # a map has no order: the fields are compared, and carried, as entries
+        F.min(F.when(metadata, F.struct("record_id", "date", F.map_entries("fields").alias("fields")))).over(of).alias("metadata"),
+        F.min(F.when(side, F.col("target_uri"))).over(of).alias("uri"),
+        F.max(main).over(of).alias("known"), F.row_number().over(of.orderBy("record_id")).alias("place"),
     )
-    of = "min_by(struct({}), record_id) FILTER (WHERE record_type = '{}')"
-    side = records.where("record_type IN ('request', 'metadata') AND concurrent_to IS NOT NULL").groupBy(F.col("concurrent_to").alias("to")).agg(
-        F.expr(of.format("record_id, date, http_headers", "request")).alias("request"),
-        F.expr(of.format("record_id, date, fields", "metadata")).alias("metadata"),
-        F.min("target_uri").alias("uri"),
-    )
-    out = main.join(side, main["capture_id"] == side["to"], "full_outer")
-    return out.select(F.coalesce("capture_id", "to").alias("capture_id"), F.coalesce("target_uri", "uri").alias("target_uri"), "response", "request", "metadata")
+    metadata = F.when(F.col("metadata").isNotNull(), F.struct("metadata.record_id", "metadata.date", F.map_from_entries("metadata.fields").alias("fields")))
+    return rows.where("main OR NOT known AND place = 1").select("capture_id", F.coalesce(F.when(F.col("main"), F.col("target_uri")), "uri").alias("target_uri"), "response", "request", metadata.alias("metadata"))

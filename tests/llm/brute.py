@@ -162,7 +162,7 @@ def copies(rows, temperature=0.7, seed=17):
     out = Counter()
     for doc_id, text, source in rows:
         rate = weight[source] / sum(weight.values()) * sum(total.values()) / total[source]
-        u = (int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        u = (int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}|{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
         n, p = 0, math.exp(-rate)
         below = p
         while below < u:
@@ -238,3 +238,64 @@ def spots(text, anchors, chain=2):
 
 def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies(rows, least=0.8, shingle=5):
+    """(doc_ids that stay, near pairs of different texts, those of them within reach of the fingerprints) of (doc_id, text), doc_ids distinct."""
+    import itertools
+
+    from spendlake.llm import simhash
+
+    words = [BLANK_WORDS.findall(lower(t)) for _, t in rows]
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    prints = [simhash.fingerprint(lower(t), shingle) & (1 << 64) - 1 for _, t in rows]
+    masks = simhash.blocks(simhash.NEAR_BLOCKS)
+    groups, near, found = Sets(len(rows)), 0, 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if rows[i][1] == rows[j][1] or not sets[i] and not sets[j]:
+            groups.join(i, j)
+        elif likeness(sets[i], sets[j]) >= least:
+            near += 1
+            differ = prints[i] ^ prints[j]
+            if differ.bit_count() <= simhash.NEAR_LIMIT and sum(not differ & m for m in masks) >= 2:
+                found += 1
+                groups.join(i, j)
+    least_id = {}
+    for k, (i, _) in enumerate(rows):
+        least_id[groups.find(k)] = min(i, least_id.get(groups.find(k), i))
+    return set(least_id.values()), near, found
+
+
+def languages(rows, min_share=2e-5, slot_bits=20, multipliers=(0x9E3779B1, 0x85EBCA77)):
+    """{doc_id: (held_out, lang_pred, score)} of (doc_id, text, lang), each language below the sample size."""
+    import unicodedata
+
+    def grams(text):
+        folded = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in lower(text))
+        folded = b" " + b" ".join(folded.split(b" ")) + b" "
+        while b"  " in folded:
+            folded = folded.replace(b"  ", b" ")
+        return [int.from_bytes(folded[k : k + 4], "little") for k in range(len(folded) - 3)]
+
+    def slots(gram):
+        return [(gram * m & 0xFFFFFFFF) >> 32 - slot_bits for m in multipliers]
+
+    counts, sizes = {}, Counter()
+    for i, text, lang in rows:
+        if crc(i) % 3 != 1 and text is not None and lang is not None:
+            sizes[lang] += 1
+            counts.setdefault(lang, Counter()).update(grams(text))
+    order = sorted(sizes, key=lambda x: (-sizes[x], x))
+    filters = []
+    for lang in order:
+        total = sum(counts[lang].values())
+        bits = {s for g, n in counts[lang].items() if n >= max(2, total * min_share) for s in slots(g)}
+        filters.append((bits, (len(bits) / (1 << slot_bits)) ** 2))
+    out = {}
+    for i, text, _ in rows:
+        own = grams(text)
+        shares = [min(1, max(0, (sum(all(s in bits for s in slots(g)) for g in own) / max(1, len(own)) - false) / max(1 - false, 1e-9))) for bits, false in filters]
+        letter = any(unicodedata.category(c).startswith("L") for c in text or "")
+        best = max(range(len(order)), key=lambda k: (shares[k], -k))
+        out[i] = (crc(i) % 3 == 1, order[best] if letter else "und", shares[best] if letter else 0.0)
+    return out

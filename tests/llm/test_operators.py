@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spendlake.llm import decontaminate, embeddings, language, mixing, ring, scan, shared, simhash, suffix_tree, token_counts, token_files, warc
@@ -335,7 +336,7 @@ def test_dense_cells_are_cut(spark):
     for k, p in enumerate(prints):
         want.setdefault(sets.find(k), set()).add(p)
     for cell in (5, 4096):
-        found = shared.components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), cell=cell)).collect()
+        found = shared.components(simhash.links(spark.createDataFrame([(p, p, []) for p in prints], "node bigint, fp bigint, bad array<bigint>"), cell=cell)).collect()
         got = {}
         for r in found:
             got.setdefault(r["component"], set()).add(r["node"])
@@ -489,30 +490,68 @@ def test_shards_of_odd_rows(spark, odd):
 # the pipeline
 
 
+def in_files(df):
+    """The rows of a stored table in the order of its files."""
+    return sorted(df.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index").collect(), key=lambda r: (r["file_path"], r["row_index"]))
+
+
 def test_pipeline_stage_by_stage(spark, documents):
     docs, items = documents, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     kept = shared.stored(corpus_pipeline.identify_language(spark, docs, SF_DIR), "test")
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
     one = shared.stored(corpus_pipeline.drop_near_duplicates(spark, kept, SF_DIR), "test")
-    heads = {c for _, _, c in brute.simhash_groups(pairs(kept))}
+    heads, near, found = brute.near_copies(pairs(kept))
     assert {r[0] for r in rows(one, "doc_id")} == heads and one.count() == len(heads)
+    assert near and found >= 0.9 * near
     clean = shared.stored(corpus_pipeline.drop_contaminated(spark, one, SF_DIR), "test")
     good = {c[0] for c in brute.contamination(pairs(one), items) if not c[-1]}
     assert {r[0] for r in rows(clean, "doc_id")} == good and len(good) < len(heads)
     mixed = shared.stored(corpus_pipeline.mix_sources(spark, clean, SF_DIR), "test")
     assert Counter(tuple(r) for r in mixed.select("doc_id", "text", "source").collect()) == brute.copies([tuple(r) for r in clean.select("doc_id", "text", "source").collect()])
+    want = brute.token_rows([(k, r["text"]) for k, r in enumerate(in_files(mixed))], public_tokenizer())
+    want = [(r["doc_id"], *w[1:]) for r, w in zip(in_files(mixed), want)]
     out = corpus_pipeline.write_token_files(spark, mixed, SF_DIR)
-    same(map(tuple, out.collect()), brute.token_rows(pairs(mixed), public_tokenizer()))
-    same(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect()), brute.token_rows(pairs(mixed), public_tokenizer()))
+    same(map(tuple, out.collect()), want)
+    same(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect()), want)
 
 
-def test_pipeline_mixes_the_files(spark):
+def test_files_in_stored_order(spark):
     docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text", "explode(sequence(1, 5))").drop("col")
-    got = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, docs, SF_DIR).orderBy("start").collect()]
-    assert Counter(got) == {k: 5 for k in range(200)}
-    assert sum(a == b for a, b in zip(got, got[1:])) < 50  # 5 are expected, and 800 if copies stand together
-    again = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, docs.repartition(7), SF_DIR).orderBy("start").collect()]
-    assert again == got
+    mixed = shared.stored(mixing.mix(docs.withColumn("source", (docs.doc_id % 3).cast("string"))).select("doc_id", "text"), "test")
+    got = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, mixed, SF_DIR).orderBy("start").collect()]
+    assert got == [r["doc_id"] for r in in_files(mixed)]
+    plan = corpus_pipeline.write_token_files(spark, docs.repartition(3), SF_DIR).orderBy("start").collect()  # not from files: stored first
+    assert Counter(r["doc_id"] for r in plan) == {k: 5 for k in range(200)}
+
+
+def test_mixing_draws_documents_without_id_apart(spark):
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, id, NULL) AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    got = mixing.mix(docs)  # a source that is a literal, too
+    assert 3600 < got.count() < 4400 and 1800 < got.where("doc_id IS NULL").count() < 2200
+    assert got.where("doc_id IS NULL").select("shuffle_key").distinct().count() == got.where("doc_id IS NULL").count()
+
+
+def test_parts_of_files_are_read_in_many_tasks(spark):
+    parts = spark.range(20000).selectExpr("concat('f', id % 20) AS file", "id * 8388608 AS start", "8388608L AS size").coalesce(1)
+    dealt = shared.spread(parts, "size", "file", "start").groupBy(F.spark_partition_id()).count()
+    assert dealt.count() > 1500 and dealt.agg({"count": "max"}).first()[0] < 60
+    few = shared.spread(parts.limit(3), "size", "file", "start")
+    assert few.rdd.getNumPartitions() == 3 and shared.spread(parts.limit(0), "size", "file").rdd.getNumPartitions() == 1
+
+
+def test_language_against_brute_force(spark, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op5_language_masks"](spark, SF_DIR).collect()}
+    want = brute.languages([(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()])
+    assert {i: (r["held_out"], r["lang_pred"]) for i, r in got.items()} == {i: w[:2] for i, w in want.items()}
+    assert all(abs(r["score"] - want[i][2]) < 1e-9 for i, r in got.items())
+
+
+def test_letters_are_unicode_letters():
+    model = language.Model.build(["en"], [np.array([1], np.uint32)])
+    texts = ["½² ③", "Ⅷ ⅳ", "٣٤ _", "ß", "中", "", "a"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    assert model.decide(np.frombuffer(data, np.uint8), offsets)[0] == ["und", "und", "und", "en", "en", "und", "en"]
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd, none, documents):
