@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlake.llm import decontaminate, language, mixing, simhash, token_files
 from spendlake.llm.queries import public_tokenizer, table
-from spendlake.llm.shared import scratch, stored, text_key
+from spendlake.llm.shared import scratch, stored
 
 #: Texts of which less than this share looks like the language that is nearest are rejected.
 LEAST_SCORE = 0.1
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each SimHash group."""
+    """Keep the document with the smallest doc_id of each group of near copies: SimHash candidates, judged by their shingles."""
     return simhash.deduplicate(docs).select(docs.columns)
 
 
@@ -40,13 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write all documents as bit-packed token files, in a global random order, and return what the files hold of each."""
+    """Write all documents as bit-packed token files, in the order of the stage before, and return what the files hold of each."""
     path = scratch(spark, "corpus")
-    # equal rows are counted and numbered, so each copy has a place of its own, whatever files the documents come from
-    copies = docs.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    place = F.xxhash64(F.lit(f"order{mixing.SEED}"), text_key("doc_id"), text_key("text"), F.col("copy"))
-    token_files.write(copies.select("doc_id", "text", place.alias("place")), path, public_tokenizer(), order=("place",))
+    token_files.write_stored(docs, path, public_tokenizer())
     return token_files.read(spark, path)
 
 
