@@ -12,21 +12,22 @@ without a difference, and there all coordinates agree. So a cell is two blocks a
 In a cell, fingerprints run in the order of their first pivot distance, and the scan of one ends where that distance is LIMIT farther.
 A task keeps a spanning forest of its links, not the links.
 
-``deduplicate`` takes fingerprints farther apart as candidates only, and exact Jaccard of the shingles decides. Candidates that a forest
-holds are judged; where one fails, its candidates are joined anew without it, until none fails.
+``deduplicate`` takes wider fingerprints, farther apart, as candidates only, and exact Jaccard of the shingles decides. The candidates of a
+spanning forest are judged first; where some fail, all candidates between the parts into which their forest falls are judged.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
 from spendlake.llm.shared import Forest, components, stored, text_key, without
@@ -40,155 +41,203 @@ FAMILIES = 8
 CELL = 4096
 #: Hashes whose bits are summed together.
 BATCH = 1 << 15
-#: For ``deduplicate``: words of a shingle, likeness of near copies, bits of candidates and blocks of which two agree.
-NEAR_SHINGLE, NEAR, NEAR_LIMIT, NEAR_BLOCKS = 5, 0.8, 14, 12
+#: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, bits of candidates, and blocks of so many bits of
+#: which two agree. At a likeness of 0.8 a pair differs in 19 of 128 bits, give or take 4, and in two of the blocks agrees with a chance of 0.93.
+NEAR_SHINGLE, NEAR, NEAR_WORDS, NEAR_LIMIT, NEAR_BLOCKS, NEAR_BITS = 5, 0.8, 2, 27, 12, 7
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a lower-cased text, as a signed 64-bit integer."""
-    import xxhash
-
+def votes(text: bytes, shingle: int, digest: Callable[[bytes, int], bytes], words: int) -> np.ndarray:
+    """The ``words`` 64-bit words of the fingerprint of a lower-cased text; all zero for one without words."""
     found = text.split()
     if not found:
-        return 0
+        return np.zeros(words, np.int64)
     ends = np.cumsum([len(w) + 1 for w in found]).tolist()
     starts = [0, *ends]
     last = max(1, len(found) - shingle + 1)
-    joined, digest = b" ".join(found), xxhash.xxh64_digest
+    joined = b" ".join(found)
     parts = (digest(joined[a : b - 1], SEED) for a, b in zip(starts[:last], ends[min(shingle, len(found)) - 1 :]))
-    votes = np.zeros(64, np.int64)
+    ones = np.zeros(64 * words, np.int64)
     while got := b"".join(itertools.islice(parts, BATCH)):
-        votes += np.add.reduce(np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32)
-    return int(np.packbits(votes * 2 > last).view(">i8")[0])
-
-
-def fingerprints(shingle: int = SHINGLE):
-    """Fingerprints of whole texts; a null or a text without words gives 0."""
+        ones += np.add.reduce(np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8 * words), axis=1), axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > last).view(">i8").astype(np.int64)
 
-    @F.pandas_udf(LongType())
-    def of_texts(texts: pd.Series) -> pd.Series:
-        out = []
-        for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
-            raw, bounds = LOWER[data].tobytes(), offsets.tolist()
-            out += [fingerprint(raw[a:b], shingle) for a, b in zip(bounds, bounds[1:])]
-        return pd.Series(out, dtype="int64")
 
-    return of_texts
-
-
-def blocks(n: int) -> list[int]:
-    """The bits of each of ``n`` blocks."""
-    cuts = np.linspace(0, 64, n + 1).astype(int)
-    return [((1 << int(b)) - 1) & ~((1 << int(a)) - 1) for a, b in itertools.pairwise(cuts)]
-
-
-def references(n: int) -> np.ndarray:
-    """(family, 1 + blocks): random fingerprints of a fixed seed, and after each its copies with the bits of one block flipped."""
-    first = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, FAMILIES, dtype=np.uint64, endpoint=False)
-    return first[:, None] ^ np.array([0, *blocks(n)], np.uint64)
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a lower-cased text, as a signed 64-bit integer."""
+    import xxhash
 
+    return int(votes(text, shingle, xxhash.xxh64_digest, 1)[0])
 
-def pivot_table(fp: np.ndarray, n: int) -> np.ndarray:
-    """(fingerprint, family, 1 + blocks): Hamming distances to all references."""
-    return np.bitwise_count(fp.view(np.uint64)[:, None, None] ^ references(n))
 
+def wide_fingerprint(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    import xxhash
 
-def cell_keys(table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each two blocks their number, and a hash of their coordinates in all families."""
-    coordinates = table[:, :, 1:].astype(np.int64) - table[:, :, :1]
-    odd = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, coordinates.shape[1:]) * 2 + 1
-    of_block = (coordinates * odd).sum(axis=1)
-    of_block = (of_block ^ of_block >> 29) * np.int64(0x1B873593CC9E2D51)
-    for k, (a, b) in enumerate(itertools.combinations(range(of_block.shape[1]), 2)):
-        yield k, (of_block[:, a] ^ of_block[:, a] >> 31) * 3 + of_block[:, b]
+    return votes(text, shingle, xxhash.xxh3_128_digest, NEAR_WORDS)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for two nodes, whatever their order."""
-    return np.minimum(a, b) * np.int64(0x2545F4914F6CDD1D) + np.maximum(a, b)
+def _of_texts(texts: pd.Series, one: Callable[[bytes], object]) -> list:
+    out = []
+    for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
+        raw, bounds = LOWER[data].tobytes(), offsets.tolist()
+        out += [one(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return out
 
 
-def _near(group: np.ndarray, part: np.ndarray, across: np.ndarray, node: np.ndarray, fp: np.ndarray, bad: np.ndarray, limit: int, n: int) -> np.ndarray:
-    """The label of each row: the first of the rows that links within its group connect it with."""
-    forest = Forest(len(fp))
-    table = pivot_table(fp, n).reshape(len(fp), -1).astype(np.int8)
-    order = np.lexsort((table[:, 0], group))
-    group, part, across, node, fp, table = (x[order] for x in (group, part, across, node, fp, table))
+@F.pandas_udf(LongType())
+def fingerprints(texts: pd.Series) -> pd.Series:
+    """Fingerprints of whole texts; a null or a text without words gives 0."""
+    return pd.Series(_of_texts(texts, fingerprint), dtype="int64")
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def wide_fingerprints(texts: pd.Series) -> pd.Series:
+    return pd.Series(_of_texts(texts, wide_fingerprint))
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Families of reference fingerprints: a random one, and after it a copy with the bits of one of the blocks flipped, for each."""
+
+    blocks: tuple[tuple[int, ...], ...]  # the 64-bit words of each block's bits
+
+    @classmethod
+    def even(cls, n: int) -> Pivots:
+        """``n`` blocks of one word."""
+        cuts = np.linspace(0, 64, n + 1).astype(int).tolist()
+        return cls(tuple(((1 << b) - (1 << a),) for a, b in itertools.pairwise(cuts)))
+
+    @classmethod
+    def narrow(cls, n: int, bits: int, words: int) -> Pivots:
+        """``n`` blocks of ``bits`` bits; together they may leave bits out."""
+        masks = [((1 << bits) - 1) << bits * k for k in range(n)]
+        return cls(tuple(tuple(m >> 64 * w & (1 << 64) - 1 for w in range(words)) for m in masks))
+
+    def references(self) -> np.ndarray:
+        """(family, 1 + blocks, words)"""
+        words = len(self.blocks[0])
+        heads = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (FAMILIES, 1, words), dtype=np.uint64)
+        return heads ^ np.array([(0,) * words, *self.blocks], np.uint64)
+
+    def table(self, fp: np.ndarray) -> np.ndarray:
+        """(fingerprint, family, 1 + blocks): Hamming distances to all references of the rows of ``fp``."""
+        out = np.zeros((len(fp), FAMILIES, 1 + len(self.blocks)), np.int16)
+        references = self.references()
+        for w in range(fp.shape[1]):
+            out += np.bitwise_count(fp[:, w].view(np.uint64)[:, None, None] ^ references[None, :, :, w])
+        return out
+
+    def cells(self, fp: np.ndarray) -> Iterator[np.ndarray]:
+        """For each two blocks a hash of them and of their coordinates in all families."""
+        table = self.table(fp).astype(np.int64)
+        coordinates = table[:, :, 1:] - table[:, :, :1]
+        odd = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, coordinates.shape[1:]) * 2 + 1
+        of_block = (coordinates * odd).sum(axis=1) + np.arange(coordinates.shape[2])
+        of_block = (of_block ^ of_block >> 29) * np.int64(0x1B873593CC9E2D51)
+        for a, b in itertools.combinations(range(of_block.shape[1]), 2):
+            yield ((of_block[:, a] ^ of_block[:, a] >> 31) * 3 + of_block[:, b]) * np.int64(0x2545F4914F6CDD1D)
+
+
+def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of (a, b) that join the parts of ``forest`` as all of them do, and no more than needed; earlier pairs go first."""
+    chosen = []
+    while True:
+        x, y = forest.label[a], forest.label[b]
+        differ = x != y
+        if not differ.any():
+            break
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        first = np.unique(np.maximum(x, y), return_index=True)[1]  # each part takes one pair that leads to an earlier part
+        chosen.append((a[first], b[first]))
+        forest.union(a[first], b[first])
+    return tuple(map(np.concatenate, zip(*chosen))) if chosen else (a[:0], b[:0])
+
+
+def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1."""
+    if not len(fp):
+        return
+    table = pivots.table(fp)
+    order = np.lexsort((table[:, 0, 0], group))
+    group, meet, fp, table = group[order], meet[order], fp[order], table[order].reshape(len(fp), -1)
     first = np.ascontiguousarray(table[:, 0])
-    a, step = np.arange(len(fp)), 1
+    a, step, heads = np.arange(len(fp)), 1, range(1 + len(pivots.blocks), table.shape[1], 1 + len(pivots.blocks))
     while True:
         a = a[a + step < len(fp)]
         b = a + step
         a = a[(group[a] == group[b]) & (first[b] - first[a] <= limit)]
         if not len(a):
-            break
-        x = a[~across[a] | (part[a] != part[a + step])]
-        for column in range(n + 1, table.shape[1], n + 1) if limit <= LIMIT else ():  # the heads of families alone discard nearly all
+            return
+        x = a[(meet[a] != meet[a + step]) | (meet[a] == -1)]
+        for column in heads:
             x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
-        if limit <= LIMIT:
-            x = x[np.abs(table[x] - table[x + step]).max(axis=1, initial=0) <= limit]
-        x = x[np.bitwise_count((fp[x] ^ fp[x + step]).view(np.uint64)) <= limit]
-        if len(bad):
-            x = x[~np.isin(_pair(node[x], node[x + step]), bad)]
-        forest.union(x, x + step)
+        x = x[np.abs(table[x] - table[x + step]).max(axis=1, initial=0) <= limit]
+        x = x[np.bitwise_count((fp[x] ^ fp[x + step]).view(np.uint64)).sum(axis=1) <= limit]
+        if len(x):
+            yield order[x], order[x + step]
         step += 1
-    label = np.empty(len(fp), np.int64)
-    label[order] = order[forest.label]
-    return label
 
 
-def links(nodes: DataFrame, limit: int = LIMIT, n: int = LIMIT + 2, cell: int = CELL) -> DataFrame:
-    """(a, b): links that connect the ``node`` of ``nodes`` (node, fp, bad) as all pairs that meet within ``limit`` bits do.
+def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, cell: int = CELL, forests: bool = True) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, fp, label) that meet within ``limit`` bits; those of equal labels are left out.
 
-    With ``n`` blocks, limit + 2 or more, all pairs within ``limit`` meet. ``bad`` holds the nodes that a node is not to be linked with.
+    ``fp`` is an array of 64-bit words. With blocks that cover all bits, limit + 2 or more of them, all pairs within ``limit`` meet. With ``forests``
+    a task returns only pairs that connect its nodes as all of them do. A pair may come from several cells.
     """
+    pivots = pivots or Pivots.even(limit + 2)
+    words = len(pivots.blocks[0])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(at, BATCH)
-                for k, key in cell_keys(pivot_table(rows.column(1).to_numpy(), n)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *rows.columns], names=["blocks", "key", "node", "fp", "bad"])
+                for key in pivots.cells(rows.column(1).flatten().to_numpy().reshape(-1, words)):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *rows.columns], names=["key", "node", "fp", "label"])
 
-    rows = nodes.select("node", "fp", "bad").mapInArrow(deal, "blocks int, key bigint, node bigint, fp bigint, bad array<bigint>")
+    rows = nodes.select("node", "fp", "label").mapInArrow(deal, "key bigint, node bigint, fp array<bigint>, label bigint")
     # a cell over the limit: every fingerprint is in one part and meets all parts, two in a task
-    large = rows.groupBy(F.col("blocks").alias("__blocks"), F.col("key").alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    rows = rows.join(large, (F.col("blocks") == F.col("__blocks")) & (F.col("key") == F.col("__key")), "left")
+    large = rows.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    rows = rows.join(large, F.col("key") == F.col("__key"), "left")
     rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("blocks", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "fp", "bad")
-    keys = ["blocks", "key", "low", "high"]
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "fp")
+    keys = ["key", "low", "high"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
+    def found(low: np.ndarray, high: np.ndarray, part: np.ndarray, group: np.ndarray, node: np.ndarray, label: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.append(True, (group[1:] != group[:-1]))
+        alone = np.flatnonzero(first & np.append(first[1:], True))
+        some = np.ones(len(group), bool)
+        some[alone] = False
+        low, high, part, group, node, label, fp = (x[some] for x in (low, high, part, group, node, label, fp))
+        forest = Forest(len(node))
+        # near ones first, so that a forest is made of likely pairs
+        for within in (limit // 3, limit) if forests else (limit,):
+            for a, b in _candidates(group, np.where(low == high, -1, part), fp, pivots, within):
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                if forests:
+                    a, b = spanning(forest, a, b)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
-        bad_a, bad_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [batch.column(6).flatten().to_numpy().reshape(-1, words)]
                 rest = [np.concatenate(x) for x in zip(rest, new)] if rest else new
-                lists = batch.column(7)
-                sizes = np.diff(np.asarray(lists.offsets))
-                bad_a, bad_b = np.append(bad_a, np.repeat(new[5], sizes)), np.append(bad_b, lists.flatten().to_numpy())
             if not rest or not len(rest[0]):
                 continue
-            blocks_of, key, low, high, part, node, fp = rest
-            begins = np.concatenate([[True], (blocks_of[1:] != blocks_of[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-            end = len(fp) if batch is None else int(np.flatnonzero(begins)[-1])  # the last cell may go on in the next batch
-            group = np.cumsum(begins)[:end]
-            label = _near(group, part[:end], (low != high)[:end], node[:end], fp[:end], np.unique(_pair(bad_a, bad_b)), limit, n)
-            linked = np.flatnonzero(label != np.arange(end))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
+            key, low, high, part, node, label, fp = rest
+            begins = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            end = len(key) if batch is None else int(np.flatnonzero(begins)[-1])  # the last cell may go on in the next batch
+            if end:
+                yield from found(*(x[:end] for x in (low, high, part, np.cumsum(begins), node, label, fp)))
             rest = [x[end:] for x in rest]
-            left = np.isin(bad_a, rest[5])
-            bad_a, bad_b = bad_a[left], bad_b[left]
 
     return rows.mapInArrow(task, "a bigint, b bigint")
 
 
-NO_NODES = "cast(array() AS array<bigint>)"
-
-
 def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -197,9 +246,9 @@ def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     Rows that repeat a doc_id or a text are rows of their own. An empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies is joined by one aggregation.
     """
-    prints = stored(docs.select("doc_id", fingerprints()("text").alias("fp")), "prints")
+    prints = stored(docs.select("doc_id", fingerprints("text").alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(nodes.select(F.col("fp").alias("node"), "fp", F.expr(NO_NODES).alias("bad")), limit, limit + 2))
+    linked = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fp"), F.col("fp").alias("label")), limit))
     nodes = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     nodes = stored(nodes, "nodes")
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -251,44 +300,44 @@ def judged(edges: DataFrame, docs: DataFrame, least: float = NEAR, shingle: int
     return stored(both.mapInArrow(judge, "a bigint, b bigint, near boolean"), "judged")
 
 
-def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR, limit: int = NEAR_LIMIT, n: int = NEAR_BLOCKS) -> DataFrame:
+def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR) -> DataFrame:
     """(node, component): the texts of ``nodes`` (node, fp) that near pairs connect, those without one left out; ``texts`` has (node, text).
 
-    Every candidate that a spanning forest holds is judged. Where some fail, the nodes of their forests are joined anew without the
-    failed pairs; each pair is judged once at most, and the rounds end when no candidate fails.
+    First the candidates of spanning forests are judged. Where one fails, all candidates between the parts of its forest that near pairs
+    have not joined are judged as well, so that no near pair among the candidates is lost.
     """
-    active, good, bad = nodes.select("node", "fp", F.expr(NO_NODES).alias("bad")), None, None
-    while True:
-        edges = stored(links(active, limit, n).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-        if good is not None:
-            edges = stored(edges.join(good, ["a", "b"], "left_anti"), "candidates")
-        found = judged(edges, texts, least)
-        kept = found.where("near").select("a", "b")
-        good = kept if good is None else stored(good.union(kept), "near")
-        failed = found.where("NOT near").select("a", "b")
-        if failed.isEmpty():
-            return components(good)
-        bad = failed if bad is None else stored(bad.union(failed), "failed")
-        # the forests that a failed pair belongs to, whole
-        forest = components(edges.union(good))
-        torn = forest.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
-        again = forest.join(torn, "component", "left_semi").select("node")
-        of_node = bad.union(bad.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("bad"))
-        active = nodes.select("node", "fp").join(again, "node").join(of_node, "node", "left").select("node", "fp", F.coalesce("bad", F.expr(NO_NODES)).alias("bad"))
-        active = stored(active, "torn")
-
-
-def deduplicate(docs: DataFrame, least: float = NEAR, limit: int = NEAR_LIMIT, n: int = NEAR_BLOCKS) -> DataFrame:
+    pivots = Pivots.narrow(NEAR_BLOCKS, NEAR_BITS, NEAR_WORDS)
+
+    def candidates(active: DataFrame, forests: bool) -> DataFrame:
+        found = links(active, NEAR_LIMIT, pivots, forests=forests)
+        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    edges = stored(candidates(nodes.select("node", "fp", F.col("node").alias("label")), True), "candidates")
+    found = judged(edges, texts, least)
+    good, failed = found.where("near").select("a", "b"), found.where("NOT near").select("a", "b")
+    parts = stored(components(good), "parts")
+    if failed.isEmpty():
+        return parts
+    forest = components(edges)
+    torn = forest.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct()
+    active = nodes.join(forest.join(torn, "component", "left_semi").select("node"), "node")
+    active = active.join(parts, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
+    rest = stored(candidates(stored(active, "torn"), False).join(failed, ["a", "b"], "left_anti"), "candidates")
+    more = judged(rest, texts, least).where("near").select("a", "b")
+    return components(good.union(more))
+
+
+def deduplicate(docs: DataFrame, least: float = NEAR) -> DataFrame:
     """One row of each group of near texts of ``docs``: the smallest doc_id, of rows that repeat it the smallest text hash, of equal rows one.
 
     Texts are near if their shingles of NEAR_SHINGLE words have Jaccard ``least``; groups are what near pairs connect. Candidates are texts
-    within ``limit`` bits of fingerprint that agree in two of ``n`` blocks. Texts without words are one text. A group without a doc_id keeps one row.
+    within NEAR_LIMIT bits of a wide fingerprint that agree in two of NEAR_BLOCKS blocks. Texts without words are one text. A group without a doc_id keeps one row.
     """
     key = F.when(F.trim(F.regexp_replace(text_key("text"), r"[\x09-\x0D]+", " ")) == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64("text"))
     docs = without(docs, "__id", "__key", "__n")
-    prints = stored(docs.select("doc_id", key.alias("node"), fingerprints(NEAR_SHINGLE)("text").alias("fp")), "prints")
+    prints = stored(docs.select("doc_id", key.alias("node"), wide_fingerprints("text").alias("fp")), "prints")
     nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "nodes")
-    linked = near_texts(nodes, docs.select(key.alias("node"), "text"), least, limit, n).withColumnRenamed("node", "__key")
+    linked = near_texts(nodes, docs.select(key.alias("node"), "text"), least).withColumnRenamed("node", "__key")
     # of each text the row to keep, then of each group
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
     rows = prints.groupBy("doc_id", "node").agg(F.count("*").alias("n"))

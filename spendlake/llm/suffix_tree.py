@@ -441,8 +441,10 @@ class Tree:
             open_tree, found_rows, found = None, [], []
 
             def out() -> pa.RecordBatch:
-                codes, unique = pd.factorize(np.concatenate(found_rows))
-                return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(codes, np.concatenate(found), len(unique)))], names=["row", "sum"])
+                codes, unique = pd.factorize(np.concatenate(found_rows), sort=True)
+                parts, part = np.unique(unique >> PART), unique >> PART
+                place, total = (unique & ((1 << PART) - 1)).astype("<u4"), np.bincount(codes, np.concatenate(found), len(unique))
+                return pa.RecordBatch.from_arrays([pa.array(parts), packed(parts, part, place), packed(parts, part, total)], names=["part", "row", "sum"])
 
             for table in _chunks(batches, CHUNK):
                 table = pa.concat_tables([open_tree, table]).combine_chunks() if open_tree is not None else table
@@ -463,7 +465,28 @@ class Tree:
             if found:
                 yield out()
 
-        return rows.mapInArrow(answer, "row bigint, sum double").groupBy("row").agg(F.sum("sum").alias("sum"))
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a part's texts are numbered from 0, so their sums are an array
+            part, sums = None, np.zeros(0)
+
+            def out() -> pa.RecordBatch:
+                place = np.flatnonzero(sums)
+                return pa.RecordBatch.from_arrays([pa.array(part << PART | place), pa.array(sums[place])], names=["row", "sum"])
+
+            for batch in batches:
+                for k, p in enumerate(batch.column(0).to_pylist()):
+                    if p != part:
+                        if part is not None:
+                            yield out()
+                        part, sums = p, np.zeros(0)
+                    place, own = unpacked(batch.column(1).slice(k, 1), "<u4")[0].astype(np.int64), unpacked(batch.column(2).slice(k, 1), "<f8")[0]
+                    sums = np.append(sums, np.zeros(max(0, int(place.max(initial=-1)) + 1 - len(sums))))
+                    sums[place] += own  # a place occurs once in a row
+            if part is not None:
+                yield out()
+
+        found = rows.mapInArrow(answer, "part bigint, row binary, sum binary").repartition("part").sortWithinPartitions("part")
+        return found.mapInArrow(total, "row bigint, sum double")
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each of a few keys."""

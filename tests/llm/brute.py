@@ -248,8 +248,8 @@ def near_copies(rows, least=0.8, shingle=5):
 
     words = [BLANK_WORDS.findall(lower(t)) for _, t in rows]
     sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
-    prints = [simhash.fingerprint(lower(t), shingle) & (1 << 64) - 1 for _, t in rows]
-    masks = simhash.blocks(simhash.NEAR_BLOCKS)
+    prints = [simhash.wide_fingerprint(lower(t), shingle) for _, t in rows]
+    masks = [np.array(m, np.uint64).view(np.int64) for m in simhash.Pivots.narrow(simhash.NEAR_BLOCKS, simhash.NEAR_BITS, simhash.NEAR_WORDS).blocks]
     groups, near, found = Sets(len(rows)), 0, 0
     for i, j in itertools.combinations(range(len(rows)), 2):
         if rows[i][1] == rows[j][1] or not sets[i] and not sets[j]:
@@ -257,7 +257,7 @@ def near_copies(rows, least=0.8, shingle=5):
         elif likeness(sets[i], sets[j]) >= least:
             near += 1
             differ = prints[i] ^ prints[j]
-            if differ.bit_count() <= simhash.NEAR_LIMIT and sum(not differ & m for m in masks) >= 2:
+            if np.bitwise_count(differ.view(np.uint64)).sum() <= simhash.NEAR_LIMIT and sum(not (differ & m).any() for m in masks) >= 2:
                 found += 1
                 groups.join(i, j)
     least_id = {}

@@ -336,7 +336,7 @@ def test_dense_cells_are_cut(spark):
     for k, p in enumerate(prints):
         want.setdefault(sets.find(k), set()).add(p)
     for cell in (5, 4096):
-        found = shared.components(simhash.links(spark.createDataFrame([(p, p, []) for p in prints], "node bigint, fp bigint, bad array<bigint>"), cell=cell)).collect()
+        found = shared.components(simhash.links(spark.createDataFrame([(p, [p], p) for p in prints], "node bigint, fp array<bigint>, label bigint"), cell=cell)).collect()
         got = {}
         for r in found:
             got.setdefault(r["component"], set()).add(r["node"])
