@@ -39,6 +39,8 @@ SEED = 42
 FAMILIES = 8
 #: Fingerprints of a cell that are compared in one task; a larger cell is cut into pairs of parts.
 CELL = 4096
+#: Pairs that a task holds before it makes a forest of them.
+PAIRS = 1 << 20
 #: Hashes whose bits are summed together.
 BATCH = 1 << 15
 #: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, bits of candidates, and blocks of so many bits of
@@ -152,28 +154,34 @@ def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, zip(*chosen))) if chosen else (a[:0], b[:0])
 
 
-def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1."""
+def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, bits): pairs of rows of one group within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1.
+
+    Distances to references spread by about the root of the fingerprint's bits: a wider limit discards next to nothing by them, and bits are compared at once.
+    """
     if not len(fp):
         return
-    table = pivots.table(fp)
-    order = np.lexsort((table[:, 0, 0], group))
-    group, meet, fp, table = group[order], meet[order], fp[order], table[order].reshape(len(fp), -1)
-    first = np.ascontiguousarray(table[:, 0])
-    a, step, heads = np.arange(len(fp)), 1, range(1 + len(pivots.blocks), table.shape[1], 1 + len(pivots.blocks))
+    discards = limit * limit < 64 * fp.shape[1]
+    head = np.bitwise_count(fp.view(np.uint64) ^ pivots.references()[0, 0]).sum(axis=1, dtype=np.int16)
+    order = np.lexsort((head, group))
+    group, meet, fp, head = group[order], meet[order], fp[order].view(np.uint64), head[order]
+    table = pivots.table(fp.view(np.int64)).reshape(len(fp), -1) if discards else None
+    a, step, heads = np.arange(len(fp)), 1, range(1 + len(pivots.blocks), FAMILIES * (1 + len(pivots.blocks)), 1 + len(pivots.blocks))
     while True:
         a = a[a + step < len(fp)]
         b = a + step
-        a = a[(group[a] == group[b]) & (first[b] - first[a] <= limit)]
+        a = a[(group[a] == group[b]) & (head[b] - head[a] <= limit)]
         if not len(a):
             return
         x = a[(meet[a] != meet[a + step]) | (meet[a] == -1)]
-        for column in heads:
-            x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
-        x = x[np.abs(table[x] - table[x + step]).max(axis=1, initial=0) <= limit]
-        x = x[np.bitwise_count((fp[x] ^ fp[x + step]).view(np.uint64)).sum(axis=1) <= limit]
-        if len(x):
-            yield order[x], order[x + step]
+        if discards:
+            for column in heads:
+                x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
+            x = x[np.abs(table[x] - table[x + step]).max(axis=1, initial=0) <= limit]
+        bits = np.bitwise_count(fp[x] ^ fp[x + step]).sum(axis=1, dtype=np.int16)
+        near = bits <= limit
+        if near.any():
+            yield order[x[near]], order[x[near] + step], bits[near]
         step += 1
 
 
@@ -209,16 +217,25 @@ def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, ce
         some = np.ones(len(group), bool)
         some[alone] = False
         low, high, part, group, node, label, fp = (x[some] for x in (low, high, part, group, node, label, fp))
-        forest = Forest(len(node))
-        # near ones first, so that a forest is made of likely pairs
-        for within in (limit // 3, limit) if forests else (limit,):
-            for a, b in _candidates(group, np.where(low == high, -1, part), fp, pivots, within):
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-                if forests:
-                    a, b = spanning(forest, a, b)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+        forest, held, n = Forest(len(node)), [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b, bits = map(np.concatenate, zip(*held))
+            if forests:  # near ones first, so that a forest is made of likely pairs
+                order = np.argsort(bits, kind="stable")
+                a, b = spanning(forest, a[order], b[order])
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for a, b, bits in _candidates(group, np.where(low == high, -1, part), fp, pivots, limit):
+            apart = label[a] != label[b]
+            held.append((a[apart], b[apart], bits[apart]))
+            n += int(apart.sum())
+            if n > PAIRS:
+                yield out()
+                held.clear()
+                n = 0
+        if held:
+            yield out()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
