@@ -16,23 +16,23 @@ def peer_percentile(values: DataFrame, key: str = "category", value: str = "amou
     """percent_rank of each row among all rows of its key.
 
     A key may hold every user, so it is not sorted as one group: values fall
-    into cells of equal magnitude (a monotone function of the value), rows are
-    ranked inside (key, cell), and the rows of lower cells are added from an
-    aggregate that has a few thousand cells per key.
+    into cells of equal magnitude (a monotone function of the value), the
+    different values of a cell are ranked with their counts, and the rows of lower cells are
+    added from an aggregate that has a few thousand cells per key. Equal values
+    cost an aggregate, and the ranks come back to the rows by an equi-join.
     """
     cell = F.floor(F.log10(F.greatest(m.dbl(value), F.lit(0.01))) * 500)
-    rows = values.withColumn("_cell", cell)
-    counts = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("_times")).withColumn("_cell", cell)
+    counts = distinct.groupBy(key, "_cell").agg(F.sum("_times").alias("_n"))
     lower = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0))).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy(key))
     )
-    inside = Window.partitionBy(key, "_cell").orderBy(value)
-    rank = F.rank().over(inside) + F.col("_before")
-    share = F.when(F.col("_all") > 1, (rank - 1) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
-    return (
-        rows.join(offsets.drop("_n"), [key, "_cell"]).withColumn("percent_rank", share).drop("_cell", "_before", "_all")
-    )
+    inside = Window.partitionBy(key, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = F.coalesce(F.sum("_times").over(inside), F.lit(0)) + F.col("_before")
+    share = F.when(F.col("_all") > 1, smaller / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    ranks = distinct.join(offsets.drop("_n"), [key, "_cell"]).select(key, value, share.alias("percent_rank"))
+    return values.join(ranks, [key, value])
 
 
 def peer_benchmark(labelled: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

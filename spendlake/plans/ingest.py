@@ -134,17 +134,6 @@ def _(i: Inputs):
 CONFIG = {"date": "Date", "description": "Details", "amount": "Value", "balance": "Left"}
 
 
-@query("S8_caller_mapping", "file string, line_no bigint, date string, amount double, transaction_type string", """
-SELECT file, line_no - 2 AS line_no, date, amount, 'CREDIT' AS transaction_type FROM (""" + EXPECTED + """) WHERE CAST(substr(file, 5) AS BIGINT) % 6 = 0
-""")
-def _(i: Inputs):
-    lines = i.csv_lines.withColumn("f", F.substring("file", 5, 20).cast("long")).filter("f % 6 = 0 AND line_no >= 2")
-    header = F.when(F.col("line_no") == 2, F.lit("Date,Details,Value,Kind,Left")).otherwise(F.col("line"))
-    moved = lines.select("file", (F.col("line_no") - 2).alias("line_no"), header.alias("line"))
-    rows, _messages = dl.parse_with_config(moved, CONFIG, AS_OF)
-    return rows
-
-
 # For each layout of the generated files: the names a caller gives its columns, and the fields they are.
 LAYOUTS = [
     ("Date,Details,Value,Kind,Left", CONFIG | {"type": "Kind"}),
@@ -156,8 +145,7 @@ LAYOUTS = [
 ]
 
 
-@query("S8_caller_mapping_layouts", PARSED_COLUMNS, f"SELECT * REPLACE (line_no - 2 AS line_no) FROM ({EXPECTED})")
-def _(i: Inputs):
+def _by_caller(i: Inputs):
     """Every file of every layout, each layout under a mapping of its own."""
     lines = i.csv_lines.withColumn("f", F.substring("file", 5, 20).cast("long") % len(LAYOUTS)).filter("line_no >= 2")
     parts = []
@@ -168,6 +156,10 @@ def _(i: Inputs):
     return reduce(DataFrame.unionByName, parts)
 
 
+query("S8_caller_mapping", "file string, line_no bigint, date string, amount double, transaction_type string", f"SELECT * REPLACE (line_no - 2 AS line_no) FROM ({EXPECTED})")(_by_caller)
+query("S8_caller_mapping_layouts", PARSED_COLUMNS, f"SELECT * REPLACE (line_no - 2 AS line_no) FROM ({EXPECTED})")(_by_caller)
+
+
 @query("S8_mapping_messages", "file string, warnings string, errors string", """
 SELECT DISTINCT file, 'Column ''When'' not found for field ''date''' AS warnings, 'Date column mapping is required' AS errors FROM csv_lines
 """)
