@@ -40,7 +40,7 @@ FAMILIES = 8
 #: Fingerprints of a cell that are compared in one task; a larger cell is cut into pairs of parts.
 CELL = 4096
 #: Pairs that a task holds before it makes a forest of them.
-PAIRS = 1 << 20
+PAIRS = 1 << 16
 #: Hashes whose bits are summed together.
 BATCH = 1 << 15
 #: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, bits of candidates, and blocks of so many bits of
@@ -154,9 +154,11 @@ def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, zip(*chosen))) if chosen else (a[:0], b[:0])
 
 
-def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int, forest: Forest | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, bits): pairs of rows of one group within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1.
 
+    Pairs that ``forest`` has joined by then are passed over, so that a dense group costs little once it is connected.
+
     Distances to references spread by about the root of the fingerprint's bits: a wider limit discards next to nothing by them, and bits are compared at once.
     """
     if not len(fp):
@@ -174,6 +176,8 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
         if not len(a):
             return
         x = a[(meet[a] != meet[a + step]) | (meet[a] == -1)]
+        if forest is not None:
+            x = x[forest.label[order[x]] != forest.label[order[x + step]]]
         if discards:
             for column in heads:
                 x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
@@ -226,7 +230,7 @@ def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, ce
                 a, b = spanning(forest, a[order], b[order])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-        for a, b, bits in _candidates(group, np.where(low == high, -1, part), fp, pivots, limit):
+        for a, b, bits in _candidates(group, np.where(low == high, -1, part), fp, pivots, limit, forest if forests else None):
             apart = label[a] != label[b]
             held.append((a[apart], b[apart], bits[apart]))
             n += int(apart.sum())
