@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges that a task returns at a time.
+ROWS = 1 << 16
 #: Bytes of files that one task reads.
 TASK = 64 << 20
 
@@ -84,19 +88,30 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: every round points the neighbours of a node at
     the smallest of them, so trees become stars in a logarithmic number of rounds. A round is two
     aggregations with map-side combine and two joins on the node, which Spark splits where a hub is
-    hot; no neighbourhood is ever collected. Every round is checkpointed, and the rounds end when
-    the edges no longer change. Nulls and self-links are ignored.
+    hot; no neighbourhood is ever collected. Every round is checkpointed, each of its partitions as
+    the stars of its own edges; the rounds end when all edges are stars. Nulls and self-links are ignored.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = checkpointed(edges)
-    before = None
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ends = np.concatenate([held["a"].to_numpy(), held["b"].to_numpy()])
+        nodes, at = np.unique(ends, return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.union(at[: len(held)], at[len(held) :])
+        for rows in np.array_split(np.flatnonzero(forest.label != np.arange(len(nodes))), len(nodes) // ROWS + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[forest.label[rows]])], names=["a", "b"])
+
+    def reduced(edges: DataFrame) -> DataFrame:
+        return checkpointed(edges.distinct().mapInArrow(stars, "a bigint, b bigint"))
+
+    edges = reduced(edges.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).where("a <> b"))
     while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before or not seen[0]:
+        ends = edges.select("a", F.lit(1).alias("child"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("a").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+        if ends.where("child + root > 1").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 edges.select("b", "b").distinct().toDF("node", "component")
             )
-        before = seen
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -104,4 +119,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b")
-        edges = checkpointed(small.distinct())
+        edges = reduced(small)

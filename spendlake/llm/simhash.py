@@ -19,13 +19,13 @@ spanning forest are judged first; where some fail, all candidates between the pa
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -43,57 +43,74 @@ CELL = 4096
 PAIRS = 1 << 16
 #: Hashes whose bits are summed together.
 BATCH = 1 << 15
-#: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, bits of candidates, and blocks of so many bits of
-#: which two agree. At a likeness of 0.8 a pair differs in 19 of 128 bits, give or take 4, and in two of the blocks agrees with a chance of 0.93.
-NEAR_SHINGLE, NEAR, NEAR_WORDS, NEAR_LIMIT, NEAR_BLOCKS, NEAR_BITS = 5, 0.8, 2, 27, 12, 7
+#: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, and blocks of so many bits of which one agrees.
+#: At a likeness of 0.8 a pair agrees in one of the blocks with a chance of 0.94.
+NEAR_SHINGLE, NEAR, NEAR_WORDS, NEAR_BLOCKS, NEAR_BITS = 5, 0.8, 6, 27, 14
+#: Words of a fingerprint that travel to the cells, and bits of them in which candidates differ at most: at a likeness of 0.8, 29 of 192, give or take 5.
+NEAR_CARRIED, NEAR_LIMIT = 3, 40
+#: Shingles whose bits are summed in single bytes.
+RUN = 255
+_ODD = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 62, NEAR_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def votes(text: bytes, shingle: int, digest: Callable[[bytes, int], bytes], words: int) -> np.ndarray:
-    """The ``words`` 64-bit words of the fingerprint of a lower-cased text; all zero for one without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a lower-cased text, as a signed 64-bit integer; 0 for one without words."""
+    import xxhash
+
     found = text.split()
     if not found:
-        return np.zeros(words, np.int64)
+        return 0
     ends = np.cumsum([len(w) + 1 for w in found]).tolist()
     starts = [0, *ends]
     last = max(1, len(found) - shingle + 1)
     joined = b" ".join(found)
-    parts = (digest(joined[a : b - 1], SEED) for a, b in zip(starts[:last], ends[min(shingle, len(found)) - 1 :]))
-    ones = np.zeros(64 * words, np.int64)
+    parts = (xxhash.xxh64_digest(joined[a : b - 1], SEED) for a, b in zip(starts[:last], ends[min(shingle, len(found)) - 1 :]))
+    ones = np.zeros(64, np.int64)
     while got := b"".join(itertools.islice(parts, BATCH)):
-        ones += np.add.reduce(np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8 * words), axis=1), axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > last).view(">i8").astype(np.int64)
-
-
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a lower-cased text, as a signed 64-bit integer."""
-    import xxhash
-
-    return int(votes(text, shingle, xxhash.xxh64_digest, 1)[0])
-
-
-def wide_fingerprint(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    import xxhash
+        ones += np.add.reduce(np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32)
+    return int(np.packbits(ones * 2 > last).view(">i8")[0])
 
-    return votes(text, shingle, xxhash.xxh3_128_digest, NEAR_WORDS)
 
-
-def _of_texts(texts: pd.Series, one: Callable[[bytes], object]) -> list:
+@F.pandas_udf(LongType())
+def fingerprints(texts: pd.Series) -> pd.Series:
+    """Fingerprints of whole texts; a null or a text without words gives 0."""
     out = []
     for _, _, data, offsets in pieces(*buffers(pa.array(texts, pa.large_string()))):
         raw, bounds = LOWER[data].tobytes(), offsets.tolist()
-        out += [one(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
-    return out
+        out += [fingerprint(raw[a:b]) for a, b in itertools.pairwise(bounds)]
+    return pd.Series(out, dtype="int64")
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    """Fingerprints of whole texts; a null or a text without words gives 0."""
-    return pd.Series(_of_texts(texts, fingerprint), dtype="int64")
+def shingles(texts: pa.Array, shingle: int = NEAR_SHINGLE) -> Iterator[np.ndarray]:
+    """Of each text the 64-bit hashes of its shingles of ``shingle`` words, repeats included; of fewer words, the sequence of them is the one shingle."""
+    for _, _, data, offsets in pieces(*buffers(texts)):
+        low = LOWER[data]
+        starts, ends, before = words(~SPACE[low], offsets)
+        own = hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        for a, b in itertools.pairwise(before.tolist()):
+            size = min(shingle, b - a)
+            mixed = np.zeros(b - a - size + 1 if size else 0, np.uint64)
+            for k in range(size):
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[a + k : b - size + 1 + k]
+            yield mixed
+
+
+def wide_fingerprint(hashed: np.ndarray) -> np.ndarray:
+    """NEAR_WORDS 64-bit words that tell which bits are set in over half of the hashes drawn from each of ``hashed``; all zero for none."""
+    ones = np.zeros(64 * NEAR_WORDS, np.int64)
+    for at in range(0, len(hashed), RUN):
+        drawn = hashed[at : at + RUN, None] * _ODD
+        drawn ^= drawn >> np.uint64(31)
+        drawn *= np.uint64(0x94D049BB133111EB)
+        drawn ^= drawn >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(drawn.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashed)).view(np.int64)
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def wide_fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(_of_texts(texts, wide_fingerprint))
+    """Wide fingerprints of whole texts; a null or a text without words gives zeros."""
+    return pd.Series([wide_fingerprint(x) for x in shingles(pa.array(texts, pa.large_string()))], dtype=object)
 
 
 @dataclass(frozen=True)
@@ -101,6 +118,7 @@ class Pivots:
     """Families of reference fingerprints: a random one, and after it a copy with the bits of one of the blocks flipped, for each."""
 
     blocks: tuple[tuple[int, ...], ...]  # the 64-bit words of each block's bits
+    agree: int = 2  # blocks of a cell
 
     @classmethod
     def even(cls, n: int) -> Pivots:
@@ -109,10 +127,10 @@ class Pivots:
         return cls(tuple(((1 << b) - (1 << a),) for a, b in itertools.pairwise(cuts)))
 
     @classmethod
-    def narrow(cls, n: int, bits: int, words: int) -> Pivots:
-        """``n`` blocks of ``bits`` bits; together they may leave bits out."""
+    def narrow(cls, n: int, bits: int, words: int, agree: int) -> Pivots:
+        """``n`` blocks of ``bits`` bits, ``agree`` of which make a cell; together they may leave bits out."""
         masks = [((1 << bits) - 1) << bits * k for k in range(n)]
-        return cls(tuple(tuple(m >> 64 * w & (1 << 64) - 1 for w in range(words)) for m in masks))
+        return cls(tuple(tuple(m >> 64 * w & (1 << 64) - 1 for w in range(words)) for m in masks), agree)
 
     def references(self) -> np.ndarray:
         """(family, 1 + blocks, words)"""
@@ -129,14 +147,17 @@ class Pivots:
         return out
 
     def cells(self, fp: np.ndarray) -> Iterator[np.ndarray]:
-        """For each two blocks a hash of them and of their coordinates in all families."""
+        """For each ``agree`` blocks a hash of them and of their coordinates in all families."""
         table = self.table(fp).astype(np.int64)
         coordinates = table[:, :, 1:] - table[:, :, :1]
         odd = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, coordinates.shape[1:]) * 2 + 1
         of_block = (coordinates * odd).sum(axis=1) + np.arange(coordinates.shape[2])
         of_block = (of_block ^ of_block >> 29) * np.int64(0x1B873593CC9E2D51)
-        for a, b in itertools.combinations(range(of_block.shape[1]), 2):
-            yield ((of_block[:, a] ^ of_block[:, a] >> 31) * 3 + of_block[:, b]) * np.int64(0x2545F4914F6CDD1D)
+        for chosen in itertools.combinations(range(of_block.shape[1]), self.agree):
+            key = np.zeros(len(fp), np.int64)
+            for block in chosen:
+                key = ((key ^ key >> 31) * 3 + of_block[:, block]) * np.int64(0x2545F4914F6CDD1D)
+            yield key
 
 
 def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +175,8 @@ def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, zip(*chosen))) if chosen else (a[:0], b[:0])
 
 
-def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, limit: int, forest: Forest | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, bits): pairs of rows of one group within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1.
+def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Pivots, label: np.ndarray, limit: int, forest: Forest | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, bits): pairs of rows of one group and of two labels within ``limit`` bits; ``meet`` are codes of which those of a pair must differ, unless they are -1.
 
     Pairs that ``forest`` has joined by then are passed over, so that a dense group costs little once it is connected.
 
@@ -164,9 +185,9 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
     if not len(fp):
         return
     discards = limit * limit < 64 * fp.shape[1]
-    head = np.bitwise_count(fp.view(np.uint64) ^ pivots.references()[0, 0]).sum(axis=1, dtype=np.int16)
+    head = np.bitwise_count(fp.view(np.uint64) ^ pivots.references()[0, 0, : fp.shape[1]]).sum(axis=1, dtype=np.int16)
     order = np.lexsort((head, group))
-    group, meet, fp, head = group[order], meet[order], fp[order].view(np.uint64), head[order]
+    group, meet, label, fp, head = group[order], meet[order], label[order], fp[order].view(np.uint64), head[order]
     table = pivots.table(fp.view(np.int64)).reshape(len(fp), -1) if discards else None
     a, step, heads = np.arange(len(fp)), 1, range(1 + len(pivots.blocks), FAMILIES * (1 + len(pivots.blocks)), 1 + len(pivots.blocks))
     while True:
@@ -178,6 +199,7 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
         x = a[(meet[a] != meet[a + step]) | (meet[a] == -1)]
         if forest is not None:
             x = x[forest.label[order[x]] != forest.label[order[x + step]]]
+        x = x[label[x] != label[x + step]]
         if discards:
             for column in heads:
                 x = x[np.abs(table[x, column] - table[x + step, column]) <= limit]
@@ -189,25 +211,40 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
         step += 1
 
 
-def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, cell: int = CELL, forests: bool = True) -> DataFrame:
+def links(
+    nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, cell: int = CELL, forests: bool = True, carried: int | None = None
+) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, fp, label) that meet within ``limit`` bits; those of equal labels are left out.
 
     ``fp`` is an array of 64-bit words. With blocks that cover all bits, limit + 2 or more of them, all pairs within ``limit`` meet. With ``forests``
     a task returns only pairs that connect its nodes as all of them do. A pair may come from several cells.
+    Where ``carried`` is given, ``limit`` is for that many first words, which alone travel to the cells.
     """
     pivots = pivots or Pivots.even(limit + 2)
-    words = len(pivots.blocks[0])
+    all_words = len(pivots.blocks[0])
+    words = carried or all_words
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(at, BATCH)
-                for key in pivots.cells(rows.column(1).flatten().to_numpy().reshape(-1, words)):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *rows.columns], names=["key", "node", "fp", "label"])
+                fp = rows.column("fp").flatten().to_numpy().reshape(-1, all_words)
+                for key in pivots.cells(fp):
+                    yield rows, fp, key
+
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, key in cells(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key)], names=["__key"])
 
-    rows = nodes.select("node", "fp", "label").mapInArrow(deal, "key bigint, node bigint, fp array<bigint>, label bigint")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fp, key in cells(batches):
+            first = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(fp), [None, pa.py_buffer(fp[:, :words].tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("node"), first, rows.column("label")], names=["key", "node", "fp", "label"])
+
+    rows = nodes.select("node", "fp", "label").mapInArrow(deal, "key bigint, node bigint, fp binary, label bigint")
     # a cell over the limit: every fingerprint is in one part and meets all parts, two in a task
-    large = rows.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = nodes.select("fp").mapInArrow(keys_only, "__key bigint").groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = stored(large, "large")
     rows = rows.join(large, F.col("key") == F.col("__key"), "left")
     rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -230,10 +267,9 @@ def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, ce
                 a, b = spanning(forest, a[order], b[order])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-        for a, b, bits in _candidates(group, np.where(low == high, -1, part), fp, pivots, limit, forest if forests else None):
-            apart = label[a] != label[b]
-            held.append((a[apart], b[apart], bits[apart]))
-            n += int(apart.sum())
+        for a, b, bits in _candidates(group, np.where(low == high, -1, part), fp, pivots, label, limit, forest if forests else None):
+            held.append((a, b, bits))
+            n += len(a)
             if n > PAIRS:
                 yield out()
                 held.clear()
@@ -245,7 +281,7 @@ def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, ce
         rest: list[np.ndarray] = []
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [batch.column(6).flatten().to_numpy().reshape(-1, words)]
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [buffers(batch.column(6))[0].copy().view(np.int64).reshape(-1, words)]
                 rest = [np.concatenate(x) for x in zip(rest, new)] if rest else new
             if not rest or not len(rest[0]):
                 continue
@@ -281,29 +317,19 @@ def fingerprint_hex() -> F.Column:
     return F.lpad(F.lower(F.hex("fp")), 16, "0")
 
 
-def shingle_sets(texts: pa.Array, shingle: int = NEAR_SHINGLE) -> list[bytes]:
-    """Of each text the sorted 64-bit hashes of its different shingles, as bytes; of fewer words, the sequence of them is the one shingle."""
-    out = []
-    for _, _, data, offsets in pieces(*buffers(texts)):
-        low = LOWER[data]
-        starts, ends, before = words(~SPACE[low], offsets)
-        own = hashes(low, starts, ends).tolist() if len(starts) else []
-        for a, b in itertools.pairwise(before.tolist()):
-            found = np.array(own[a:b], np.uint64)
-            size = min(shingle, len(found))
-            mixed = np.zeros(len(found) - size + 1 if size else 0, np.uint64)
-            for k in range(size):
-                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + found[k : len(found) - size + 1 + k]
-            out.append(np.unique(mixed).tobytes())
-    return out
-
-
-def judged(edges: DataFrame, docs: DataFrame, least: float = NEAR, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """(a, b, near) of ``edges`` (a, b): whether the texts of two nodes of ``docs`` (node, text) have Jaccard ``least`` over their shingles."""
+def shingle_sets(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text): the sorted 64-bit hashes of a text's different shingles, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), shingle), pa.binary())], names=["node", "shingles"])
+            found = [np.unique(x).tobytes() for x in shingles(batch.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(sets, "node bigint, shingles binary")
+
+
+def judged(edges: DataFrame, sets: DataFrame, least: float = NEAR) -> DataFrame:
+    """(a, b, near) of ``edges`` (a, b): whether the shingles of two nodes of ``sets`` (node, shingles) have Jaccard ``least``."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,47 +340,46 @@ def judged(edges: DataFrame, docs: DataFrame, least: float = NEAR, shingle: int
                 near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    asked = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
-    texts = docs.select("node", "text").join(asked, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"])
-    found = stored(texts.mapInArrow(sets, "node bigint, shingles binary"), "shingles")
-    both = edges.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(judge, "a bigint, b bigint, near boolean"), "judged")
 
 
 def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR) -> DataFrame:
     """(node, component): the texts of ``nodes`` (node, fp) that near pairs connect, those without one left out; ``texts`` has (node, text).
 
-    First the candidates of spanning forests are judged. Where one fails, all candidates between the parts of its forest that near pairs
-    have not joined are judged as well, so that no near pair among the candidates is lost.
+    First the candidates of spanning forests are judged. Each part that near pairs make of a forest is next to a failed candidate, if its forest
+    fell apart at all. So all candidates between parts that a failed one touches are judged as well, and no near pair among the candidates is lost.
     """
-    pivots = Pivots.narrow(NEAR_BLOCKS, NEAR_BITS, NEAR_WORDS)
+    pivots = Pivots.narrow(NEAR_BLOCKS, NEAR_BITS, NEAR_WORDS, agree=1)
 
     def candidates(active: DataFrame, forests: bool) -> DataFrame:
-        found = links(active, NEAR_LIMIT, pivots, forests=forests)
+        found = links(active, NEAR_LIMIT, pivots, forests=forests, carried=NEAR_CARRIED)
         return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = stored(candidates(nodes.select("node", "fp", F.col("node").alias("label")), True), "candidates")
-    found = judged(edges, texts, least)
+    asked = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
+    texts = texts.join(asked, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"])
+    sets = stored(shingle_sets(texts), "shingles")
+    found = judged(edges, sets, least)
     good, failed = found.where("near").select("a", "b"), found.where("NOT near").select("a", "b")
     parts = stored(components(good), "parts")
     if failed.isEmpty():
         return parts
-    forest = components(edges)
-    torn = forest.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct()
-    active = nodes.join(forest.join(torn, "component", "left_semi").select("node"), "node")
-    active = active.join(parts, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
-    rest = stored(candidates(stored(active, "torn"), False).join(failed, ["a", "b"], "left_anti"), "candidates")
-    more = judged(rest, texts, least).where("near").select("a", "b")
-    return components(good.union(more))
+    label = F.coalesce("component", "node").alias("label")
+    ends = failed.select(F.col("a").alias("node")).union(failed.select("b")).join(parts, "node", "left").select(label).distinct()
+    torn = nodes.join(parts, "node", "left").select("node", "fp", label).join(ends, "label", "left_semi")
+    rest = stored(candidates(stored(torn.select("node", "fp", "label"), "torn"), False).join(failed, ["a", "b"], "left_anti"), "candidates")
+    more = judged(rest, sets, least).where("near").select("a", "b")
+    return components(parts.toDF("a", "b").union(more))
 
 
 def deduplicate(docs: DataFrame, least: float = NEAR) -> DataFrame:
     """One row of each group of near texts of ``docs``: the smallest doc_id, of rows that repeat it the smallest text hash, of equal rows one.
 
     Texts are near if their shingles of NEAR_SHINGLE words have Jaccard ``least``; groups are what near pairs connect. Candidates are texts
-    within NEAR_LIMIT bits of a wide fingerprint that agree in two of NEAR_BLOCKS blocks. Texts without words are one text. A group without a doc_id keeps one row.
+    within NEAR_LIMIT of the first bits of a wide fingerprint that agree in one of NEAR_BLOCKS blocks. Texts without words are one text. A group without a doc_id keeps one row.
     """
-    key = F.when(F.trim(F.regexp_replace(text_key("text"), r"[\x09-\x0D]+", " ")) == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64("text"))
+    key = F.when(text_key("text").rlike(r"[^ \x09-\x0D]"), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
     docs = without(docs, "__id", "__key", "__n")
     prints = stored(docs.select("doc_id", key.alias("node"), wide_fingerprints("text").alias("fp")), "prints")
     nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "nodes")

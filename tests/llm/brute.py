@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLANK_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -248,8 +249,9 @@ def near_copies(rows, least=0.8, shingle=5):
 
     words = [BLANK_WORDS.findall(lower(t)) for _, t in rows]
     sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
-    prints = [simhash.wide_fingerprint(lower(t), shingle) for _, t in rows]
-    masks = [np.array(m, np.uint64).view(np.int64) for m in simhash.Pivots.narrow(simhash.NEAR_BLOCKS, simhash.NEAR_BITS, simhash.NEAR_WORDS).blocks]
+    prints = [simhash.wide_fingerprint(h) for h in simhash.shingles(pa.array([t for _, t in rows], pa.string()), shingle)]
+    pivots = simhash.Pivots.narrow(simhash.NEAR_BLOCKS, simhash.NEAR_BITS, simhash.NEAR_WORDS, 1)
+    masks = [np.array(m, np.uint64).view(np.int64) for m in pivots.blocks]
     groups, near, found = Sets(len(rows)), 0, 0
     for i, j in itertools.combinations(range(len(rows)), 2):
         if rows[i][1] == rows[j][1] or not sets[i] and not sets[j]:
@@ -257,7 +259,8 @@ def near_copies(rows, least=0.8, shingle=5):
         elif likeness(sets[i], sets[j]) >= least:
             near += 1
             differ = prints[i] ^ prints[j]
-            if np.bitwise_count(differ.view(np.uint64)).sum() <= simhash.NEAR_LIMIT and sum(not (differ & m).any() for m in masks) >= 2:
+            bits = np.bitwise_count(differ.view(np.uint64)[: simhash.NEAR_CARRIED]).sum()
+            if bits <= simhash.NEAR_LIMIT and any(not (differ & m).any() for m in masks):
                 found += 1
                 groups.join(i, j)
     least_id = {}
