@@ -12,8 +12,8 @@ without a difference, and there all coordinates agree. So a cell is two blocks a
 In a cell, fingerprints run in the order of their first pivot distance, and the scan of one ends where that distance is LIMIT farther.
 A task keeps a spanning forest of its links, not the links.
 
-``deduplicate`` takes wider fingerprints, farther apart, as candidates only, and exact Jaccard of the shingles decides. The candidates of a
-spanning forest are judged first; where some fail, all candidates between the parts into which their forest falls are judged.
+``deduplicate`` takes wider fingerprints, farther apart, as candidates only, in cells of one block, and exact Jaccard of the shingles
+decides. The candidates of spanning forests are judged first; where some fail, all candidates between the parts into which their forest falls are judged.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ BATCH = 1 << 15
 #: For ``deduplicate``: words of a shingle and likeness of near copies; 64-bit words of a fingerprint, and blocks of so many bits of which one agrees.
 #: At a likeness of 0.8 a pair agrees in one of the blocks with a chance of 0.94.
 NEAR_SHINGLE, NEAR, NEAR_WORDS, NEAR_BLOCKS, NEAR_BITS = 5, 0.8, 6, 27, 14
-#: Words of a fingerprint that travel to the cells, and bits of them in which candidates differ at most: at a likeness of 0.8, 29 of 192, give or take 5.
-NEAR_CARRIED, NEAR_LIMIT = 3, 40
+#: Bits in which candidates differ at most: at a likeness of 0.8, 58 of 384, give or take 7.
+NEAR_LIMIT = 76
+#: Bytes of a shingle's hash where sets are compared: of two texts of 1,000 shingles, two share a hash with a chance of 4e-9.
+HASH = 6
 #: Shingles whose bits are summed in single bytes.
 RUN = 255
 _ODD = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 62, NEAR_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,7 +187,7 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
     if not len(fp):
         return
     discards = limit * limit < 64 * fp.shape[1]
-    head = np.bitwise_count(fp.view(np.uint64) ^ pivots.references()[0, 0, : fp.shape[1]]).sum(axis=1, dtype=np.int16)
+    head = np.bitwise_count(fp.view(np.uint64) ^ pivots.references()[0, 0]).sum(axis=1, dtype=np.int16)
     order = np.lexsort((head, group))
     group, meet, label, fp, head = group[order], meet[order], label[order], fp[order].view(np.uint64), head[order]
     table = pivots.table(fp.view(np.int64)).reshape(len(fp), -1) if discards else None
@@ -211,24 +213,20 @@ def _candidates(group: np.ndarray, meet: np.ndarray, fp: np.ndarray, pivots: Piv
         step += 1
 
 
-def links(
-    nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, cell: int = CELL, forests: bool = True, carried: int | None = None
-) -> DataFrame:
+def links(nodes: DataFrame, limit: int = LIMIT, pivots: Pivots | None = None, cell: int = CELL, forests: bool = True) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, fp, label) that meet within ``limit`` bits; those of equal labels are left out.
 
     ``fp`` is an array of 64-bit words. With blocks that cover all bits, limit + 2 or more of them, all pairs within ``limit`` meet. With ``forests``
     a task returns only pairs that connect its nodes as all of them do. A pair may come from several cells.
-    Where ``carried`` is given, ``limit`` is for that many first words, which alone travel to the cells.
     """
     pivots = pivots or Pivots.even(limit + 2)
-    all_words = len(pivots.blocks[0])
-    words = carried or all_words
+    words = len(pivots.blocks[0])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(at, BATCH)
-                fp = rows.column("fp").flatten().to_numpy().reshape(-1, all_words)
+                fp = rows.column("fp").flatten().to_numpy().reshape(-1, words)
                 for key in pivots.cells(fp):
                     yield rows, fp, key
 
@@ -238,8 +236,8 @@ def links(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, fp, key in cells(batches):
-            first = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(fp), [None, pa.py_buffer(fp[:, :words].tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("node"), first, rows.column("label")], names=["key", "node", "fp", "label"])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(fp), [None, pa.py_buffer(fp.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("node"), packed, rows.column("label")], names=["key", "node", "fp", "label"])
 
     rows = nodes.select("node", "fp", "label").mapInArrow(deal, "key bigint, node bigint, fp binary, label bigint")
     # a cell over the limit: every fingerprint is in one part and meets all parts, two in a task
@@ -317,12 +315,23 @@ def fingerprint_hex() -> F.Column:
     return F.lpad(F.lower(F.hex("fp")), 16, "0")
 
 
+def packed_set(hashed: np.ndarray) -> bytes:
+    """The different ones of 64-bit hashes by their upper HASH bytes, in order."""
+    return np.unique(hashed >> np.uint64(64 - 8 * HASH)).view(np.uint8).reshape(-1, 8)[:, :HASH].tobytes()
+
+
+def unpacked_set(packed: pa.Buffer) -> np.ndarray:
+    out = np.zeros((packed.size // HASH, 8), np.uint8)
+    out[:, :HASH] = np.frombuffer(packed, np.uint8).reshape(-1, HASH)
+    return out.view(np.uint64).ravel()
+
+
 def shingle_sets(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """(node, shingles) of ``texts`` (node, text): the sorted 64-bit hashes of a text's different shingles, as bytes."""
+    """(node, shingles) of ``texts`` (node, text): the sorted 48-bit hashes of a text's different shingles, HASH bytes each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(x).tobytes() for x in shingles(batch.column(1), shingle)]
+            found = [packed_set(x) for x in shingles(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     return texts.mapInArrow(sets, "node bigint, shingles binary")
@@ -334,8 +343,8 @@ def judged(edges: DataFrame, sets: DataFrame, least: float = NEAR) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
@@ -353,7 +362,7 @@ def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR) -> DataF
     pivots = Pivots.narrow(NEAR_BLOCKS, NEAR_BITS, NEAR_WORDS, agree=1)
 
     def candidates(active: DataFrame, forests: bool) -> DataFrame:
-        found = links(active, NEAR_LIMIT, pivots, forests=forests, carried=NEAR_CARRIED)
+        found = links(active, NEAR_LIMIT, pivots, forests=forests)
         return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = stored(candidates(nodes.select("node", "fp", F.col("node").alias("label")), True), "candidates")
@@ -377,7 +386,7 @@ def deduplicate(docs: DataFrame, least: float = NEAR) -> DataFrame:
     """One row of each group of near texts of ``docs``: the smallest doc_id, of rows that repeat it the smallest text hash, of equal rows one.
 
     Texts are near if their shingles of NEAR_SHINGLE words have Jaccard ``least``; groups are what near pairs connect. Candidates are texts
-    within NEAR_LIMIT of the first bits of a wide fingerprint that agree in one of NEAR_BLOCKS blocks. Texts without words are one text. A group without a doc_id keeps one row.
+    within NEAR_LIMIT bits of a wide fingerprint that agree in one of NEAR_BLOCKS blocks. Texts without words are one text. A group without a doc_id keeps one row.
     """
     key = F.when(text_key("text").rlike(r"[^ \x09-\x0D]"), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
     docs = without(docs, "__id", "__key", "__n")

@@ -259,7 +259,7 @@ def near_copies(rows, least=0.8, shingle=5):
         elif likeness(sets[i], sets[j]) >= least:
             near += 1
             differ = prints[i] ^ prints[j]
-            bits = np.bitwise_count(differ.view(np.uint64)[: simhash.NEAR_CARRIED]).sum()
+            bits = np.bitwise_count(differ.view(np.uint64)).sum()
             if bits <= simhash.NEAR_LIMIT and any(not (differ & m).any() for m in masks):
                 found += 1
                 groups.join(i, j)
