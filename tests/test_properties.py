@@ -87,9 +87,56 @@ def test_greedy_removal_matches_one_pass(spark):
     df = spark.createDataFrame(rows, "txn_id long, user_id int, c int, transaction_type string, description string, transaction_date timestamp, reference string")
     df = df.withColumn("amount", (F.col("c") / 100).cast("decimal(15,2)"))
     want = _brute_force(rows)
-    for chunk in (2000, 7):
-        got = {r["txn_id"]: r["is_kept"] for r in dedup.remove_duplicates(df, max_chunk=chunk).collect()}
-        assert got == want, chunk
+    for head in (2000, 7):
+        got = {r["txn_id"]: r["is_kept"] for r in dedup.remove_duplicates(df, head=head).collect()}
+        assert got == want, head
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _edited_rows(n: int):
+    """Texts of all lengths with zero to a few edits between them, on near days and amounts."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abc é") for _ in range(k)) for k in (0, 1, 2, 4, 5, 6, 9, 10, 11, 19, 20, 24, 31)]
+    rows = []
+    for k in range(n):
+        text = list(rnd.choice(texts))
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(text) + 1)
+            text[at : at + rnd.randrange(2)] = rnd.choice(["", "z", "a"])
+        rows.append((k, 1, 10000 + rnd.randrange(5), "DEBIT", "".join(text), dt.datetime(2000, 1, 1 + rnd.randrange(3)), rnd.choice([""] * 9 + ["R1"])))
+    return rows
+
+
+def _like(new, old, days: int) -> bool:
+    (_, u, c, t, s, d, r), (_, v, e, w, o, f, q) = new, old
+    near = u == v and t == w and abs((d - f).days) <= days and abs(c - e) <= 1
+    return near and (bool(r) and r == q or 1 - _distance(s, o) / max(len(s), len(o), 1) > 0.8)
+
+
+def test_edit_index_matches_all_pairs(spark):
+    rows = _edited_rows(220)
+    df = spark.createDataFrame(rows, "txn_id long, user_id int, c int, transaction_type string, description string, transaction_date timestamp, reference string")
+    df = df.withColumn("amount", (F.col("c") / 100).cast("decimal(15,2)"))
+    for days in (0, 1):
+        first = {r[0]: min((o[0] for o in rows[:k] if _like(r, o, days)), default=None) for k, r in enumerate(rows)}
+        kept = []
+        for r in rows:
+            if not any(_like(r, o, days) for o in kept):
+                kept.append(r)
+        assert len(kept) > 20
+        for head in (64, 6):
+            got = {r["txn_id"]: r["duplicate_of"] for r in dedup.near_duplicates(df, days=days, head=head).collect()}
+            assert got == {k: v for k, v in first.items() if v is not None}, (days, head)
+            flags = dedup.remove_duplicates(df, days=days, method="edit", head=head)
+            assert sorted(r["txn_id"] for r in dedup.kept(flags).collect()) == [r[0] for r in kept], (days, head)
 
 
 def test_removal_is_idempotent(inputs):
