@@ -81,7 +81,9 @@ class Likeness:
 
     def within(self, rows: DataFrame) -> DataFrame:
         """Alike pairs of blocks of few rows."""
-        return self.judged(_side(rows, "a").join(_side(rows, "b"), "_block"))
+        rows = rows.withColumn("_hash", F.xxhash64("_block"))
+        a, b = _side(rows, "a", ["_hash", "_block"]), _side(rows, "b", ["_hash", F.col("_block").alias("b_block")])
+        return self.judged(a.join(b, "_hash").filter(F.col("_block") == F.col("b_block")).drop("_hash", "b_block"))
 
     def across(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Alike pairs of earlier rows in ``left`` and later rows in ``right``.
@@ -143,7 +145,7 @@ class Likeness:
         return F.xxhash64("_block", "_dc", "_cc", "_l", "_p", "_i", piece).alias("_key")
 
 
-def _side(rows: DataFrame, name: str, keys: Sequence[str] = ("_block",)) -> DataFrame:
+def _side(rows: DataFrame, name: str, keys: Sequence[str | Column] = ("_block",)) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(name + c) for c in FACTS])
 
 
@@ -168,21 +170,32 @@ def _runs(rows: DataFrame, group: Sequence[str], column: str, gap: int, name: st
     return rows.join(values.withColumn(name, F.sum("_new").over(steps)).drop("_new"), [*group, column])
 
 
-def _blocked(reps: DataFrame, scope: Sequence[str], like: Likeness) -> DataFrame:
-    group = [*scope, "transaction_type"]
+def _blocked(reps: DataFrame, group: Sequence[str], like: Likeness) -> DataFrame:
     days = _runs(reps, group, "_dno", like.days, "_span") if like.days else reps.withColumn("_span", F.col("_dno"))
     runs = _runs(days, [*group, "_span"], "_cents", like.cents, "_run")
-    return runs.withColumn("_block", F.struct(*group, "_span", "_run"))
+    return runs.select(F.struct(*group, "_span", "_run").alias("_block"), *FACTS)
+
 
+def _batched(rows: DataFrame, reps: DataFrame, scope: Sequence[str], like: Likeness, head: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """First rows of all blocks, the numbered rows of the large ones, their last batch.
 
-def _batched(blocked: DataFrame, head: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """First rows of all blocks, the numbered rows of the large ones, their last batch."""
+    Where few rows share scope, direction and day they are a block as they are.
+    """
+    group = [*scope, "transaction_type"]
+    part = [*group, *([] if like.days else ["_dno"])]
+    full = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > head).drop("_n")
+    span = F.lit(0).cast("int") if like.days else F.col("_dno")
+    loose = F.struct(*group, span.alias("_span"), F.lit(0).cast("bigint").alias("_run")).alias("_block")
+    if full.isEmpty():
+        return reps.select(loose, *FACTS), None, 0
+    few = reps.join(full, part, "left_anti").select(loose, *FACTS)
+    blocked = checkpointed(_blocked(reps.join(full, part, "left_semi"), group, like))
+    few = few.withColumn("_block", F.col("_block").cast(blocked.schema["_block"].dataType))
     sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    total, most = sizes.filter(F.col("_n") > head).agg(F.sum("_n"), F.max("_n")).first()
-    rows = blocked.select("_block", *FACTS)
+    sized = blocked.join(sizes, "_block")
+    total = sizes.filter(F.col("_n") > head).agg(F.sum("_n")).first()[0]
     if not total:
-        return rows, None, 0
-    sized = rows.join(sizes, "_block")
+        return few.unionByName(blocked), None, 0
     # The checkpoint fixes the partitions that the numbers build on.
     placed = sized.filter(F.col("_n") > head).drop("_n").repartitionByRange(-(-total // PART), "_block", "_rep")
     placed = checkpointed(placed.withColumn("_part", F.spark_partition_id()))
@@ -193,7 +206,7 @@ def _batched(blocked: DataFrame, head: int) -> tuple[DataFrame, DataFrame | None
     numbered = placed.join(starts, ["_block", "_part"]).withColumn("_batch", batch(rank))
     large = checkpointed(numbered.select("_block", *FACTS, "_batch"))
     first = sized.filter(F.col("_n") <= head).drop("_n").unionByName(large.filter("_batch = 0").drop("_batch"))
-    return first, large, large.agg(F.max("_batch")).first()[0]
+    return few.unionByName(first), large, large.agg(F.max("_batch")).first()[0]
 
 
 def _later(pairs: DataFrame) -> DataFrame:
@@ -220,7 +233,7 @@ def near_duplicates(
     rows = rows.filter(whole)
     same = [*scope, "transaction_type", *FACTS[1:]]
     reps = rows.groupBy(*same).agg(F.min("txn_id").alias("_rep"))
-    first, large, last = _batched(_blocked(reps, scope, like), head)
+    first, large, last = _batched(rows, reps, scope, like, head)
     earliest = lambda pairs: pairs.groupBy("_block", F.col("b_rep").alias("_rep")).agg(F.min("a_rep").alias("_first"))
     found = [earliest(like.within(first))]
     if large is not None:
@@ -263,7 +276,7 @@ def remove_duplicates(
     rows = rows.filter(whole)
     same = [*scope, "transaction_type", *FACTS[1:]]
     reps = rows.groupBy(*same).agg(F.min(order).cast("bigint").alias("_rep"))
-    first, large, last = _batched(_blocked(reps, scope, like), head)
+    first, large, last = _batched(rows, reps, scope, like, head)
     gone = _folded(like.within(first))
     if large is not None:
         gone = checkpointed(gone)

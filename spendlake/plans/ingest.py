@@ -463,6 +463,28 @@ def _(i: Inputs):
     return dedup.remove_duplicates(i.near_copies)
 
 
+# One row of each day after the other, with the list of the rows kept so far.
+GREEDY = """
+WITH RECURSIVE r AS (
+ SELECT txn_id, user_id, transaction_type AS k, CAST(transaction_date AS DATE) AS d, amount AS a, lower(description) AS t,
+  row_number() OVER (PARTITION BY user_id, transaction_type, CAST(transaction_date AS DATE) ORDER BY txn_id) AS n FROM near_copies
+), g AS (
+ SELECT user_id, k, d, n, txn_id, true AS is_kept, [{'a': a, 't': t}] AS kept FROM r WHERE n = 1
+ UNION ALL
+ SELECT user_id, k, d, n, txn_id, NOT dup, CASE WHEN dup THEN kept ELSE list_append(kept, {'a': a, 't': t}) END FROM (
+  SELECT r.*, g.kept, len(list_filter(g.kept, lambda x: abs(x.a - r.a) <= 0.01
+    AND 1 - CAST(levenshtein(x.t, r.t) AS DOUBLE) / greatest(length(x.t), length(r.t), 1) > 0.8)) > 0 AS dup
+  FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k AND r.d = g.d AND r.n = g.n + 1) AS s
+)
+SELECT txn_id, is_kept FROM g
+"""
+
+
+@query("W5_greedy_removal_edit", "txn_id bigint, is_kept boolean", GREEDY)
+def _(i: Inputs):
+    return dedup.remove_duplicates(i.near_copies, method="edit")
+
+
 @query("U5_removed_rows", "txn_id bigint", "SELECT txn_id FROM exact_copies WHERE txn_id >= 10000000")
 def _(i: Inputs):
     return dedup.removed(dedup.remove_duplicates(i.exact_copies))
