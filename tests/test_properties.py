@@ -92,6 +92,16 @@ def test_greedy_removal_matches_one_pass(spark):
         assert got == want, head
 
 
+def test_first_duplicates_by_ratio_match_all_pairs(spark):
+    rows = _similar_rows(200)
+    df = spark.createDataFrame(rows, "txn_id long, user_id int, c int, transaction_type string, description string, transaction_date timestamp, reference string")
+    df = df.withColumn("amount", (F.col("c") / 100).cast("decimal(15,2)"))
+    alike = lambda x, y: x[1] == y[1] and x[5] == y[5] and abs(x[2] - y[2]) <= 1 and ((x[6] and x[6] == y[6]) or SequenceMatcher(None, x[4], y[4]).ratio() > 0.8)
+    first = {r[0]: min((o[0] for o in rows[:k] if alike(r, o)), default=None) for k, r in enumerate(rows)}
+    got = {r["txn_id"]: r["duplicate_of"] for r in dedup.near_duplicates(df, method="ratio", head=7).collect()}
+    assert got == {k: v for k, v in first.items() if v is not None}
+
+
 def _distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
