@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 
 from spendlake.functions.text import normalize_description
 from spendlake.operators.ranking import top_k
+from spendlake.session import checkpoint_dir
+from spendlake.sources import store
 
 
-def ngrams(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+def ngrams(words: Column) -> Column:
+    """The words, then their bigrams and trigrams."""
     n = F.size(words)
 
     def grams(k: int) -> Column:
@@ -28,12 +32,19 @@ def ngrams(text: Column) -> Column:
 
 
 def with_terms(df: DataFrame) -> DataFrame:
-    return df.withColumn("terms", ngrams(normalize_description(F.col("description"))))
+    """Add ``terms``. The words are a column of their own, so that no n-gram cleans and cuts the text again."""
+    words = F.regexp_extract_all(F.lower("_normal"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    cleaned = df.withColumn("_normal", normalize_description(F.col("description"))).withColumn("_words", words)
+    return cleaned.withColumn("terms", ngrams(F.col("_words"))).drop("_normal", "_words")
 
 
 def train(labelled: DataFrame, max_features: int = 5000, min_df: int = 2, max_df: float = 0.95, smoothing: float = 0.1) -> PipelineModel | None:
-    """Fit on (description, category, subcategory); None with fewer than two labels."""
-    rows = with_terms(labelled).withColumn("label_text", F.concat_ws("|", "category", "subcategory"))
+    """Fit on (description, category, subcategory); None with fewer than two labels.
+
+    Every step of the fit reads all rows, so their terms are made once and stored.
+    """
+    rows = with_terms(labelled).select("terms", F.concat_ws("|", "category", "subcategory").alias("label_text"))
+    rows = store.stage(rows, f"{checkpoint_dir(labelled.sparkSession)}/terms-{uuid.uuid4().hex}")
     if rows.select("label_text").distinct().limit(2).count() < 2:
         return None
     counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features, minDF=min_df, maxDF=max_df).fit(rows)
