@@ -8,6 +8,8 @@ candidate is picked inside the row by an array sort.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from spendlake.functions.rules import case_of
 from spendlake.operators import matching
 from spendlake.operators.analytics import CATEGORY_ALIASES
 from spendlake.operators.ranking import first_per_key, top_k
+from spendlake.session import checkpoint_dir
 from spendlake.sources import dimensions as dim
+from spendlake.sources import store
 
 # Weight and tie order of each stage.
 STAGES = {
@@ -118,12 +122,16 @@ def infer_from_text(text: Column) -> Column:
 
 
 def retrieval_index(keywords: DataFrame) -> DataFrame:
-    """TF-IDF index of the dictionary: name, keywords, category and sub-category per merchant."""
+    """TF-IDF index of the dictionary: name, keywords, category and sub-category per merchant.
+
+    It is stored, so that Spark plans its joins with its real size.
+    """
     docs = keywords.groupBy("merchant", "category", "subcategory").agg(
         F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_list(F.struct("ord", "keyword")))["keyword"], " ").alias("words")
     )
     text = F.concat_ws(" ", "merchant", "words", "category", "subcategory")
-    return matching.tfidf_index(docs.withColumn("text", text), "merchant", "text")
+    index = matching.tfidf_index(docs.withColumn("text", text), "merchant", "text")
+    return store.stage(index, f"{checkpoint_dir(keywords.sparkSession)}/retrieval-{uuid.uuid4().hex}")
 
 
 def retrieval_candidates(queries: DataFrame, key: str, text: str, keywords: DataFrame, k: int = 5, min_score: float = 0.2) -> DataFrame:

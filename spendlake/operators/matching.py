@@ -7,7 +7,7 @@ Spark broadcasts the dictionary when its size allows and shuffles it otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.operators.ranking import ranked, top_k
@@ -143,19 +143,26 @@ def tfidf_index(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def tfidf_retrieve(queries: DataFrame, qkey: str, text: str, index: DataFrame, key: str, k: int | None = 5, min_score: float = 0.0) -> DataFrame:
-    """Best ``k`` documents per query by cosine, or all; terms outside the index do not count."""
+    """Best ``k`` documents per query by cosine, or all; terms outside the index do not count.
+
+    ``index`` should be a stored table: its size then tells Spark to broadcast it
+    and not the queries. Known terms are dealt once, by query; norms, products
+    and ranks keep that order, so no two tables as long as the queries are joined.
+    """
     idf = index.select("term", "idf").distinct()
+    words = queries.filter(F.col(qkey).isNotNull()).select(qkey, F.col(text).alias("_text")).select(qkey, F.explode(terms(F.col("_text"))).alias("term"))
     counts = (
-        queries.select(qkey, F.explode(terms(F.col(text))).alias("term"))
-        .join(idf, "term")
+        words.join(idf, "term")
+        .repartition(qkey)
         .groupBy(qkey, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
     squared = F.round(F.col("w") * F.col("w"), 12).cast("decimal(28,12)")
     product = F.round(F.col("w") * F.col("weight"), 12).cast("decimal(28,12)")
-    norms = counts.groupBy(qkey).agg(F.sqrt(F.sum(squared).cast("double")).alias("norm"))
-    dots = counts.join(index.select(key, "term", "weight"), "term").groupBy(qkey, key).agg(F.sum(product).cast("double").alias("dot"))
-    scored = dots.join(norms, qkey).select(qkey, key, F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    normed = counts.withColumn("norm", F.sqrt(F.sum(squared).over(Window.partitionBy(qkey)).cast("double")))
+    dots = normed.join(index.select(key, "term", "weight"), "term").groupBy(qkey, key).agg(
+        F.sum(product).cast("double").alias("dot"), F.first("norm").alias("norm")
+    )
+    scored = dots.select(qkey, key, F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     return ranked(scored.filter((F.col("score") > 0) & (F.col("score") >= min_score)), [qkey], [F.col("score").desc(), F.col(key)], k)
-
