@@ -274,20 +274,26 @@ SHEET_BANKS = [
 
 def sheet_columns(cells: DataFrame) -> DataFrame:
     """Header row and column of each field per sheet: (file, sheet, header_row, field, col)."""
-    low = F.lower("value")
-    top = cells.filter((F.col("row") < 30) & F.col("value").isNotNull() & (F.col("value") != ""))
-    has = lambda f: F.max(any_contains(low, SHEET_WORDS[f]))
-    flags = top.filter(F.col("col") < 20).groupBy("file", "sheet", "row").agg(
-        has("date").alias("d"), (has("description") | has("amount") | has("withdrawal") | has("deposit")).alias("m")
+    top = cells.filter((F.col("row") < 30) & (F.col("value") != "") & F.col("file").isNotNull() & F.col("sheet").isNotNull())
+    # What a cell's text names is worked out once; a row's facts come from one aggregate of fixed-width columns.
+    low = F.col("_low")
+    marks = F.struct(*[any_contains(low, words).alias(f) for f, words in SHEET_WORDS.items()])
+    named = top.withColumn("_low", F.lower("value")).withColumn("_m", F.explode(F.array(marks)))
+    field = case_of([(F.col(f"_m.{f}"), F.lit(f)) for f in SHEET_WORDS])
+    near = F.col("col") < 20
+    money = F.col("_m.description") | F.col("_m.amount") | F.col("_m.withdrawal") | F.col("_m.deposit")
+    per_row = named.withColumn("field", field).groupBy("file", "sheet", "row").agg(
+        F.max(near & F.col("_m.date")).alias("d"), F.max(near & money).alias("m"),
+        *[F.max(F.col("field") == f).alias(f"_has_{f}") for f in SHEET_WORDS],
+        *[F.min(F.when(F.col("field") == f, F.col("col"))).alias(f"_col_{f}") for f in SHEET_WORDS],
     )
-    header = flags.filter("d AND m").groupBy("file", "sheet").agg(F.min("row").alias("header_row"))
-    field = case_of([(any_contains(low, words), F.lit(f)) for f, words in SHEET_WORDS.items()])
-    named = top.join(header, ["file", "sheet"]).filter(F.col("row") == F.col("header_row")).withColumn("field", field)
-    mapped = named.filter("field IS NOT NULL").groupBy("file", "sheet", "header_row", "field").agg(F.min("col").alias("col"))
-    usable = mapped.groupBy("file", "sheet").agg(
-        F.max(F.col("field") == "date").alias("d"), F.max(F.col("field").isin("amount", "withdrawal", "deposit")).alias("m")
-    )
-    return mapped.join(usable.filter("d AND m").select("file", "sheet"), ["file", "sheet"])
+    header = first_per_key(per_row.filter("d AND m"), ["file", "sheet"], [F.col("row")])
+    # The first row with a date and another field is the header; the first word list that fits names a column.
+    usable = header.filter(F.col("_has_date") & (F.col("_has_amount") | F.col("_has_withdrawal") | F.col("_has_deposit")))
+    fields = F.array(*[
+        F.when(F.col(f"_has_{f}"), F.struct(F.lit(f).alias("field"), F.col(f"_col_{f}").alias("col"))) for f in SHEET_WORDS
+    ])
+    return usable.select("file", "sheet", F.col("row").alias("header_row"), F.inline(F.array_compact(fields)))
 
 
 def parse_sheets(cells: DataFrame, as_of: dt.date) -> DataFrame:
