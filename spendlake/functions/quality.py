@@ -6,7 +6,6 @@ import datetime as dt
 import html
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,16 +18,17 @@ from spendlake.functions.text import squeeze
 FLAGS = "(?id)"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+# Whole pages pass through these: rows go to Python by the hundred, not in Arrow batches of 10,000.
+@F.udf(T.StringType(), useArrow=False)
+def nfc(s: str | None) -> str | None:
     """Unicode NFC; Spark has no built-in for it."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return None if s is None else unicodedata.normalize("NFC", s)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
+@F.udf(T.StringType(), useArrow=False)
+def unescape_html(s: str | None) -> str | None:
     """HTML entities to characters; Spark has no built-in for the entity table."""
-    return s.map(html.unescape, na_action="ignore")
+    return None if s is None else html.unescape(s)
 
 
 def normalize_nfc(c: Column) -> Column:
