@@ -7,6 +7,7 @@ small aggregate over its first lines, joined back to the lines.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from spendlake.functions import fixed_values as v
 from spendlake.functions import text as x
 from spendlake.functions.rules import any_contains, case_of
 from spendlake.operators.ranking import first_per_key
+from spendlake.session import checkpoint_dir
+from spendlake.sources import store
 from spendlake.sources.files import DELIMITERS
 
 # Words that mark a header row.
@@ -160,6 +163,11 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     return case_of([(delimiter == d, cut(d)) for d in DELIMITERS])
 
 
+def computed_once(value: Column) -> Column:
+    """The value as a generated column: a later filter on it is not pushed below and does not work it out again."""
+    return F.explode(F.array(value))
+
+
 def find_headers(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     """First of 20 lines with two header words and three columns, else line 0."""
     low = F.lower("line")
@@ -252,7 +260,7 @@ def data_rows(lines: DataFrame, headers: DataFrame, columns: DataFrame) -> DataF
     rows = (
         lines.join(facts, "file")
         .filter((F.col("line_no") > F.col("header_row")) & (F.trim("line") != ""))
-        .withColumn("cells", split_cells(F.col("line"), F.col("delimiter")))
+        .withColumn("cells", computed_once(split_cells(F.col("line"), F.col("delimiter"))))
         .filter(F.size("cells") <= F.col("width"))
     )
 
@@ -275,8 +283,7 @@ def fields_to_transaction(rows: DataFrame, as_of: dt.date, typed_words: bool = T
     keep = [k for k in ("file", "sheet", "line_no", "row") if k in rows.columns]
     raw = F.substring(F.array_join(F.filter("cells", lambda s: ~s.isin(EMPTY_CELLS)), " | "), 1, 500) if "cells" in rows.columns else F.lit(None)
     # Cleaned texts first, as columns, so that later steps refer to them by name.
-    cleaned = rows.select(
-        *keep,
+    texts = F.struct(
         x.clean_date(c("date"), as_of).alias("date"),
         x.clean_description(c("description")).alias("description"),
         F.abs(x.clean_amount(c("withdrawal"))).alias("_paid"),
@@ -287,6 +294,7 @@ def fields_to_transaction(rows: DataFrame, as_of: dt.date, typed_words: bool = T
         F.nullif(x.strip(c("reference")), F.lit("")).alias("_ref"),
         raw.cast("string").alias("raw_text"),
     )
+    cleaned = rows.select(*keep, computed_once(texts).alias("_t")).select(*keep, "_t.*")
     paid, got, single = c("_paid"), c("_got"), c("_single")
     amount = F.when(paid > 0, paid).when(got > 0, got).otherwise(F.abs(single))
     direction = (
@@ -380,9 +388,13 @@ def statement_totals(parsed: DataFrame, messages: DataFrame | None = None) -> Da
 
 
 def post_process(parsed: DataFrame) -> DataFrame:
-    """Fill missing categories; rows sorted by date."""
+    """Fill missing categories; rows sorted by date.
+
+    A sort reads its input twice, once for the bounds of its parts: the rows are stored before it.
+    """
     category = F.coalesce("category", x.description_class(F.col("description")))
-    return parsed.withColumn("category", category).orderBy("file", "date", "line_no")
+    stored = store.stage(parsed.withColumn("category", category), f"{checkpoint_dir(parsed.sparkSession)}/parsed-{uuid.uuid4().hex}")
+    return stored.orderBy("file", "date", "line_no")
 
 
 def to_stored(parsed: DataFrame, user_id: Column, batch: Column, source: Column) -> DataFrame:

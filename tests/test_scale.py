@@ -2,9 +2,14 @@
 
 import re
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from spendlake.functions import quality
 from spendlake.operators import categorize, classifier, matching
+from spendlake.plans import ingest
+from spendlake.plans.ingest import AS_OF
+from spendlake.sources import delimited, layouts
 from tests.test_properties import plan_of
 
 
@@ -35,3 +40,44 @@ def test_texts_are_cleaned_once_for_all_ngrams(spark):
     words = spark.createDataFrame([(["a1", "b2", "c3"],), (["a1"],), ([],)], "w array<string>")
     got = [r["t"] for r in words.select(classifier.ngrams(F.col("w")).alias("t")).collect()]
     assert got == [["a1", "b2", "c3", "a1 b2", "b2 c3", "a1 b2 c3"], ["a1"], []]
+
+
+def test_texts_of_a_row_are_cleaned_once(inputs):
+    plan = delimited.parse_lines(inputs.csv_lines, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    # The filters on the date and the number of cells stay above the columns they test.
+    conditions = [line for line in plan.split("\n") if re.match(r"[\s:+-]*(Filter|Join) ", line)]
+    assert any("_t#" in c for c in conditions) and any("size(cells#" in c for c in conditions)
+    assert not any("gettimestamp" in c.lower() for c in conditions)
+
+
+def test_sorted_rows_are_stored_before_the_sort(inputs):
+    done = delimited.post_process(delimited.parse_lines(inputs.csv_lines, AS_OF))
+    assert nodes(done, "Sort") == 1 and not re.search("Aggregate|Join", plan_of(done).split("\n\n")[0])
+
+
+def test_columns_of_a_sheet_come_from_one_pass(spark):
+    cells = [
+        ("a", "s", 1, 1, "Bank"), ("a", "s", 3, 1, "Txn Date"), ("a", "s", 3, 2, "Narration"), ("a", "s", 3, 25, "Amount"), ("a", "s", 3, 4, "Amount"),
+        ("a", "s", 4, 1, "2000-01-01 date"), ("a", "s", 4, 2, "amount"), ("b", "s", 2, 1, "Date"), ("b", "s", 2, 2, "Balance"),
+        ("b", "s", 5, 1, "Date"), ("b", "s", 5, 2, "Details"), (None, "s", 1, 1, "Date"), (None, "s", 1, 2, "Amount"), ("a", "s", 40, 1, "x"), ("a", "s", 2, 1, None),
+    ]
+    found = layouts.sheet_columns(spark.createDataFrame(cells, "file string, sheet string, row int, col int, value string"))
+    assert {tuple(r) for r in found.collect()} == {
+        ("a", "s", 3, "date", 1), ("a", "s", 3, "description", 2), ("a", "s", 3, "amount", 4)}
+    # The header row is taken by rank, so the cells are read once and joined with nothing.
+    assert "Join" not in plan_of(found).split("\n\n")[0]
+
+
+def test_whole_pages_do_not_pass_in_arrow_batches(spark):
+    html = spark.createDataFrame([("<b>a &amp; é</b>",), (None,), ("plain",)], "html string")
+    got = html.select(quality.strip_html(F.col("html")).alias("a"), quality.normalize_nfc(F.col("html")).alias("b"))
+    assert nodes(got, "BatchEvalPython") >= 1 and nodes(got, "ArrowEvalPython") == 0
+    assert [tuple(r) for r in got.collect()] == [("a & é", "<b>a &amp; é</b>"), (None, None), ("plain", "plain")]
+
+
+def test_tasks_move_the_files_they_wrote(spark, inputs, monkeypatch):
+    seen = {}
+    real = DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (seen.update({k: v}), real(self, k, v))[1])
+    path = ingest._write_files(inputs, inputs.csv_lines.limit(300))
+    assert seen.get("mapreduce.fileoutputcommitter.algorithm.version") == "2" and spark.read.text(path).count() == 300
