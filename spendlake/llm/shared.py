@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from spendlake.session import checkpoint_dir, checkpointed
 
@@ -61,6 +63,35 @@ def text_key(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Bits of a sieve, a power of two.
+SIEVE = 1 << 25
+
+
+def sieve(keys: DataFrame, bits: int = SIEVE) -> Callable[[F.Column], F.Column]:
+    """A test of a bigint column: true for the values of ``keys`` (one bigint column, no nulls), and for few others as long as these are few beside ``bits``.
+
+    A Bloom filter of ``bits`` bits and two hashes, whatever the input; the driver gets its words that are not zero. Rows that it leaves out need no shuffle
+    to be told apart from ``keys``; where it is full it leaves out none, so what it lets through must be joined still.
+    """
+    hashed = F.xxhash64(F.col(keys.columns[0]))
+    places = keys.select(F.explode(F.array(hashed.bitwiseAND(bits - 1), F.shiftrightunsigned(hashed, 32).bitwiseAND(bits - 1))).alias("place"))
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    found = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    words = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf(BooleanType())
+    def inside(hashed: pd.Series) -> pd.Series:
+        h = hashed.to_numpy().view(np.uint64)
+        held = np.ones(len(h), bool)
+        for place in (h & np.uint64(bits - 1), h >> np.uint64(32) & np.uint64(bits - 1)):
+            held &= (words.value[place >> np.uint64(6)] >> (place & np.uint64(63)).astype(np.int64) & 1).astype(bool)
+        return pd.Series(held)
+
+    return lambda column: inside(F.xxhash64(column))
+
+
 class Forest:
     """Union-find over ``0..n-1`` whose unions come as arrays; every label is the smallest member."""
 

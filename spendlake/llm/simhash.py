@@ -13,7 +13,8 @@ In a cell, fingerprints run in the order of their first pivot distance, and the
 A task keeps a spanning forest of its links, not the links.
 
 ``deduplicate`` takes wider fingerprints, farther apart, as candidates only, in cells of one block, and exact Jaccard of the shingles
-decides. The candidates of spanning forests are judged first; where some fail, all candidates between the parts into which their forest falls are judged.
+decides. The candidates of spanning forests are judged first; where some fail, all candidates between the parts into which their forest falls are judged,
+inside the tasks that find them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from spendlake.llm.scan import LOWER, SPACE, buffers, hashes, pieces, words
-from spendlake.llm.shared import Forest, components, stored, text_key, without
+from spendlake.llm.shared import Forest, components, sieve, stored, text_key, without
 
 SHINGLE = 4
 LIMIT = 4
@@ -50,6 +51,10 @@ NEAR_SHINGLE, NEAR, NEAR_WORDS, NEAR_BLOCKS, NEAR_BITS = 5, 0.8, 6, 27, 14
 NEAR_LIMIT = 76
 #: Bytes of a shingle's hash where sets are compared: of two texts of 1,000 shingles, two share a hash with a chance of 4e-9.
 HASH = 6
+#: Bytes of shingle sets in a part of a torn group, and bits of a set's parity.
+PART, PARITY = 32 << 20, 1024
+#: Candidates that a task judges together.
+JUDGED = 1 << 12
 #: Shingles whose bits are summed in single bytes.
 RUN = 255
 _ODD = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 62, NEAR_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -337,48 +342,116 @@ def shingle_sets(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     return texts.mapInArrow(sets, "node bigint, shingles binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, as sorted arrays, have Jaccard ``least``."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
 def judged(edges: DataFrame, sets: DataFrame, least: float = NEAR) -> DataFrame:
     """(a, b, near) of ``edges`` (a, b): whether the shingles of two nodes of ``sets`` (node, shingles) have Jaccard ``least``."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            near = [similar(unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer()), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     both = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(judge, "a bigint, b bigint, near boolean"), "judged")
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """(set, words): for each of PARITY classes of hashes whether a set has an odd number of them. Two sets differ in no more of them than in members."""
+    return np.array([np.packbits(np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1 == 1) for x in sets]).view(np.uint64)
+
+
+def torn_links(torn: DataFrame, sets: DataFrame, pivots: Pivots, least: float = NEAR, limit: int = NEAR_LIMIT, cell: int = CELL, part: int = PART) -> DataFrame:
+    """(a, b): near pairs that connect the labels of ``torn`` (node, fp, label, whole) as all near ones among the candidates of one ``whole`` do.
+
+    Nodes come with their ``sets`` (node, shingles), once for each two parts of their whole, so candidates are judged where they are found and only links leave a task.
+    A whole has one part for each ``cell`` nodes, or each ``part`` bytes of sets.
+    """
+    sizes = torn.join(sets.select("node", F.length("shingles").alias("size")), "node").groupBy(F.col("whole").alias("__whole"))
+    sizes = sizes.agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("size") / part)).cast("int").alias("parts")).where("parts > 1")
+    rows = torn.join(sets, "node").join(sizes, F.col("whole") == F.col("__whole"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["whole", "low", "high"]
+    rows = rows.select("whole", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "fp", "shingles")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        low, high, part, node, label = (rows.column(k).to_numpy() for k in range(1, 6))
+        names, first, at = np.unique(label, return_index=True, return_inverse=True)
+        if len(names) < 2:
+            return
+        fp = rows.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, NEAR_WORDS)
+        own = [unpacked_set(x.as_buffer()) for x in rows.column("shingles")]
+        cells, odd, size = np.stack(list(pivots.cells(fp)), axis=1), parity(own), np.array([len(x) for x in own])
+        forest, held, n = Forest(len(node)), [], 0
+        forest.union(first[at], np.arange(len(node)))  # labels are connected already
+
+        def out() -> pa.RecordBatch:
+            a, b, bits = map(np.concatenate, zip(*held))
+            # of near sets, so many members are in one alone at most
+            alone = (size[a] + size[b]) * (1 - least) / (1 + least) + 1e-6
+            possible = (cells[a] == cells[b]).any(axis=1) & (np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= alone)
+            order = np.flatnonzero(possible)[np.argsort(bits[possible], kind="stable")]
+            near = [x for x in order.tolist() if similar(own[a[x]], own[b[x]], least)]
+            a, b = spanning(forest, a[near], b[near])
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for found in _candidates(np.zeros(len(node), np.int64), np.where(low == high, -1, part), fp, pivots, label, limit, forest):
+            held.append(found)
+            n += len(found[0])
+            if n > JUDGED:
+                yield out()
+                held.clear()
+                n = 0
+        if held:
+            yield out()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                rest = pa.concat_tables([rest, new]) if rest is not None else new
+            if rest is None or not rest.num_rows:
+                continue
+            whole, low, high = (rest.column(k).to_numpy() for k in range(3))
+            begins = np.flatnonzero((whole[1:] != whole[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            cuts = [0, *begins.tolist()] + [rest.num_rows] * (batch is None)  # the last group may go on in the next batch
+            for x, y in itertools.pairwise(cuts):
+                if y - x > 1:
+                    yield from found(rest.slice(x, y - x))
+            rest = rest.slice(cuts[-1])
+
+    return rows.mapInArrow(task, "a bigint, b bigint")
+
+
 def near_texts(nodes: DataFrame, texts: DataFrame, least: float = NEAR) -> DataFrame:
     """(node, component): the texts of ``nodes`` (node, fp) that near pairs connect, those without one left out; ``texts`` has (node, text).
 
     First the candidates of spanning forests are judged. Each part that near pairs make of a forest is next to a failed candidate, if its forest
-    fell apart at all. So all candidates between parts that a failed one touches are judged as well, and no near pair among the candidates is lost.
+    fell apart at all. So all candidates between parts that failed ones connect are judged as well, and no near pair among the candidates is lost.
     """
     pivots = Pivots.narrow(NEAR_BLOCKS, NEAR_BITS, NEAR_WORDS, agree=1)
-
-    def candidates(active: DataFrame, forests: bool) -> DataFrame:
-        found = links(active, NEAR_LIMIT, pivots, forests=forests)
-        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    edges = stored(candidates(nodes.select("node", "fp", F.col("node").alias("label")), True), "candidates")
+    found = links(nodes.select("node", "fp", F.col("node").alias("label")), NEAR_LIMIT, pivots)
+    edges = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     asked = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
-    texts = texts.join(asked, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"])
+    # most texts have no candidate, and are not shuffled to learn that
+    texts = texts.where(sieve(asked)(F.col("node"))).join(asked, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts), "shingles")
     found = judged(edges, sets, least)
     good, failed = found.where("near").select("a", "b"), found.where("NOT near").select("a", "b")
     parts = stored(components(good), "parts")
     if failed.isEmpty():
         return parts
-    label = F.coalesce("component", "node").alias("label")
-    ends = failed.select(F.col("a").alias("node")).union(failed.select("b")).join(parts, "node", "left").select(label).distinct()
-    torn = nodes.join(parts, "node", "left").select("node", "fp", label).join(ends, "label", "left_semi")
-    rest = stored(candidates(stored(torn.select("node", "fp", "label"), "torn"), False).join(failed, ["a", "b"], "left_anti"), "candidates")
-    more = judged(rest, sets, least).where("near").select("a", "b")
+    part = {end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")) for end in "ab"}
+    ends = failed.join(part["a"], "a", "left").join(part["b"], "b", "left")
+    wholes = components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))).toDF("label", "whole")
+    torn = nodes.join(parts, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label")).join(wholes, "label")
+    more = torn_links(stored(torn.select("node", "fp", "label", "whole"), "torn"), sets, pivots, least)
     return components(parts.toDF("a", "b").union(more))
 
 
@@ -399,7 +472,9 @@ def deduplicate(docs: DataFrame, least: float = NEAR) -> DataFrame:
     rows = rows.join(linked, F.col("node") == F.col("__key"), "left").withColumn("component", F.coalesce("component", "node"))
     heads = rows.groupBy("component").agg(F.min_by("n", rank).alias("n"), F.min(rank).alias("k"))
     heads = stored(heads.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__key"), F.col("n").alias("__n")), "heads")
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
-    # rows that repeat both are few, and only they are shuffled
-    once = kept.where("__n = 1").drop("__id", "__key", "__n")
-    return once.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__key"]).drop("__id", "__key", "__n"))
+    # rows that stay as they are, most of them, are not shuffled: all others are among those that the sieve holds
+    other = heads.where("__n = 1")
+    other = prints.join(other, prints["doc_id"].eqNullSafe(F.col("__id")) & (prints["node"] == F.col("__key")), "left_anti")
+    held = sieve(other.select(F.xxhash64("doc_id", "node").alias("row")))(F.xxhash64(F.col("doc_id"), key))
+    kept = docs.where(held).join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
+    return docs.where(~held).unionAll(kept.dropDuplicates(["__id", "__key"]).drop("__id", "__key", "__n"))

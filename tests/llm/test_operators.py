@@ -546,6 +546,17 @@ def test_language_against_brute_force(spark, documents):
     assert all(abs(r["score"] - want[i][2]) < 1e-9 for i, r in got.items())
 
 
+def test_grams_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["ab cd", "", "x", "hello  World. ", "é1é", "a b c d"]
+
+    def found(raw):
+        own, bounds = language.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [own[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+    raw = [t.encode() for t in texts]
+    assert found(raw) == [found([t])[0] for t in raw] and found(raw)[3][0] == int.from_bytes(b" hel", "little")
+
+
 def test_letters_are_unicode_letters():
     model = language.Model.build(["en"], [np.array([1], np.uint32)])
     texts = ["½² ③", "Ⅷ ⅳ", "٣٤ _", "ß", "中", "", "a"]
@@ -554,6 +565,71 @@ def test_letters_are_unicode_letters():
     assert model.decide(np.frombuffer(data, np.uint8), offsets)[0] == ["und", "und", "und", "en", "en", "und", "en"]
 
 
+@pytest.mark.parametrize("cell, part", [(40, simhash.PART), (simhash.CELL, 20_000)])
+def test_texts_just_below_the_likeness_are_judged_where_they_meet(spark, monkeypatch, cell, part):
+    draw = np.random.Generator(np.random.PCG64(12))
+    texts = []
+    for k in range(200):  # to most others 0.7 to 0.8
+        words = [f"w{j}" for j in range(400)]
+        for at in draw.choice(400, 6, replace=False):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    for k in range(20):  # to one of them above
+        texts.append(texts[k] + f" more{k}")
+    wide = simhash.torn_links
+    monkeypatch.setattr(simhash, "torn_links", lambda *a: wide(*a, cell=cell, part=part))
+    judged, store = [], simhash.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        if name in ("judged", "candidates"):
+            judged.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()}
+    own = [np.frombuffer(simhash.packed_set(x), np.uint8).reshape(-1, simhash.HASH) for x in simhash.shingles(pa.array(texts))]
+    own = [{bytes(h) for h in x} for x in own]
+    prints = np.array([simhash.wide_fingerprint(x) for x in simhash.shingles(pa.array(texts))])
+    cells = np.stack(list(simhash.Pivots.narrow(simhash.NEAR_BLOCKS, simhash.NEAR_BITS, simhash.NEAR_WORDS, agree=1).cells(prints)), axis=1)
+    sets, close = brute.Sets(len(texts)), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if np.bitwise_count((prints[a] ^ prints[b]).view(np.uint64)).sum() <= simhash.NEAR_LIMIT and (cells[a] == cells[b]).any():
+                close += 1
+                if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) - 1e-9:
+                    sets.join(a, b)
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(sets.find(k), []).append(k)
+    assert got == {min(g) for g in groups.values()} and 20 <= len(texts) - len(groups)
+    assert close > 10_000 and sum(judged) < 20 * len(texts)
+
+
+def test_parity_of_sets_differs_in_no_more_than_members():
+    draw = np.random.Generator(np.random.PCG64(13))
+    sets = [np.unique(draw.integers(0, 4000, n, dtype=np.uint64)) for n in (0, 1, 30, 900, 3000, 3000)]
+    odd = simhash.parity(sets)
+    assert odd.shape == (6, simhash.PARITY // 64)
+    for x, a in zip(sets, odd):
+        for y, b in zip(sets, odd):
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    rows = [(k, f"{'the river and the hill and a bridge ' * 3}{k % 90} {k % 90 * 7} {k % 90 * 11}") for k in range(100)] + [(3, None), (3, None), (None, "alone"), (None, "alone")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert plan.getClass().getSimpleName() == "Union" and "Join" not in plan.children().apply(0).toString()
+    held = shared.sieve(spark.range(0, 3000, 3).toDF("key"))
+    inside = [r["id"] for r in spark.range(30000).where(held(F.col("id"))).collect()]
+    assert set(range(0, 3000, 3)) <= set(inside) and len(inside) < 1010
+    full = shared.sieve(spark.range(3000).toDF("key"), 64)
+    assert spark.range(3000).where(full(F.col("id"))).count() == 3000
+    assert spark.range(10).where(shared.sieve(spark.range(0).toDF("key"))(F.col("id"))).count() == 0
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, documents):
     for docs in (odd.select(documents.columns), none.select(documents.columns)):
         for _, stage in corpus_pipeline.STAGES:
