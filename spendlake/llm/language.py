@@ -63,7 +63,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide = folded.astype(np.uint32)
     out = wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3:] << np.uint32(24)
     inside = np.ones(len(folded), bool)
-    for d in (0, 1, 2):
+    for d in (1, 2):
         inside[np.maximum(bounds[1:] - d, 0)] = False  # grams that would reach into the next text
     inside = inside[:n]
     return out[inside], np.concatenate([[0], np.cumsum(inside)])[np.minimum(bounds, n)]
