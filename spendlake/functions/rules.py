@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -35,6 +36,12 @@ def any_contains(text: Column, words: Iterable[str]) -> Column:
     return any_of(text.contains(w) for w in words)
 
 
+def beginnings(patterns: Iterable[str]) -> list[str]:
+    """Plain text that every alternative of the patterns begins with; a text without any of it matches none of them."""
+    found = {re.match(r"(?:[A-Z0-9 ](?![?*{]))*", part).group() for p in patterns for part in p.split("|")}
+    return sorted(w for w in found if not any(other in w for other in found - {w}))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

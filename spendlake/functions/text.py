@@ -31,12 +31,13 @@ def clean_amount(c: Column) -> Column:
 
     Parentheses, a leading minus and DR or DEBIT mean negative. "Rs." is taken
     out whole so that its dot is not read as a decimal point; of several dots
-    the first one counts.
+    the first one counts. A text of digits, commas and one dot needs no cleaning.
     """
+    plain = F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     negative = c.rlike(r"(?is)^\s*(?:-|\(.*\)\s*$)|dr|debit")
     digits = F.regexp_replace(c, r"(?i)\brs\.?\s*|[^0-9.\-]|^\s*-", "")
     number = F.regexp_replace(digits, r"(?<=\.[0-9\-]{0,60})\.", "").try_cast("double")
-    return F.when(negative, -F.abs(number)).otherwise(number)
+    return F.when(c.rlike(r"^[0-9,]+(?:\.[0-9]*)?$"), plain).when(negative, -F.abs(number)).otherwise(number)
 
 
 def clean_date(c: Column, as_of: dt.date, preferred: str | None = None) -> Column:
@@ -48,13 +49,15 @@ def clean_date(c: Column, as_of: dt.date, preferred: str | None = None) -> Colum
         tried.insert(0, F.try_to_date(s, preferred))
     # Only d/M/yyyy has a second reading, used when the first is out of range.
     month_first = F.when(s.rlike(v.MONTH_FIRST[0]), F.try_to_date(s, v.MONTH_FIRST[1]))
-    # Two-digit years above 68 belong to the last century.
-    century = F.transform(
-        F.array(F.coalesce(*tried), month_first),
-        lambda d: F.when((F.year(d) > 2068) & s.rlike(r"\D\d{2}$"), F.add_months(d, -1200)).otherwise(d),
-    )
     low, high = F.lit(dt.date(1990, 1, 1)), F.lit(as_of + dt.timedelta(days=1))
-    return F.try_element_at(F.filter(century, lambda d: (d >= low) & (d <= high)), F.lit(1))
+
+    def in_range(day: Column) -> Column:
+        # Two-digit years above 68 belong to the last century. Each step names the day once.
+        century = F.transform(F.array(day), lambda d: F.when((F.year(d) > 2068) & s.rlike(r"\D\d{2}$"), F.add_months(d, -1200)).otherwise(d))
+        return F.try_element_at(F.filter(century, lambda d: (d >= low) & (d <= high)), F.lit(1))
+
+    # A failed reading costs far more than a good one: the second is tried only when it is needed.
+    return F.coalesce(in_range(F.coalesce(*tried)), in_range(month_first))
 
 
 def parsed_date(c: Column) -> Column:

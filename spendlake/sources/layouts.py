@@ -1,7 +1,7 @@
 """Statement text lines to transactions, by bank layout.
 
-A layout is an ordered list of line patterns. The patterns that match a line
-give an array of candidates; the first complete candidate is its row.
+A layout is an ordered list of line patterns. The first of them that gives a
+complete row for a line is the one that counts.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions import text as x
-from spendlake.functions.rules import any_contains, case_of, first_group, found
+from spendlake.functions.rules import any_contains, beginnings, case_of, first_group, found
 from spendlake.operators.ranking import first_per_key
+from spendlake.sources.delimited import computed_once
 
 # Line patterns of each layout (matched from the start of the line).
 HDFC = [
@@ -91,6 +92,8 @@ OPENING_PATTERNS = [r"(?i)OPENING\s*BALANCE\s*[:\s]*([\d,]+\.?\d*)", r"(?i)BALAN
 CLOSING_PATTERNS = [r"(?i)CLOSING\s*BALANCE\s*[:\s]*([\d,]+\.?\d*)", r"(?i)BALANCE\s*C/F\s*[:\s]*([\d,]+\.?\d*)"]
 
 SEP = "\u0001"
+ROW = """struct<date:date,description:string,amount:double,transaction_type:string,balance:double,reference:string,raw_text:string,
+ confidence:double>"""
 
 
 @dataclass(frozen=True)
@@ -127,73 +130,66 @@ PATTERNS = [
 LAYOUTS = ["hdfc", "sbi", "icici", "axis", "kotak", "generic"]
 
 
-def _usable(line: Column, layout: str) -> Column:
+def _usable(line: Column, upper: Column, layout: str) -> Column:
     if layout == "icici":
         return ~line.startswith("S No")
     if layout == "generic":
-        return (F.length(line) >= 10) & ~any_contains(F.upper(line), GENERIC_HEADER_WORDS)
+        return (F.length(line) >= 10) & ~any_contains(upper, GENERIC_HEADER_WORDS)
     return F.lit(True)
 
 
-def _hit(line: Column, p: LinePattern) -> Column:
-    """Texts of day, description, withdrawal, deposit and balance; one regex pass."""
-    marks = SEP.join(f"${k}" for k in range(1, p.groups + 1))
-    parts = F.split(F.regexp_replace(line, p.regex + ".*$", marks), SEP)
-    g = lambda k: F.element_at(parts, k)
-    if p.mark is None and p.got is None:
-        # Without a mark group the line says DR somewhere, or is a deposit.
-        out = F.upper(line).contains("DR")
-        paid, got = F.when(out, g(p.paid)), F.when(~out, g(p.paid))
-    elif p.mark is not None:
-        mark = F.upper(g(p.mark))
-        into = mark.isin("CR", "C")
-        second = g(p.got) if p.got else F.lit(None)
-        paid = F.when(~into, g(p.paid))
-        got = F.when(into, g(p.paid)).when(~mark.isin("DR", "D"), second)
-    else:
-        paid, got = g(p.paid), g(p.got)
-    fields = {
-        "day": g(p.day), "description": g(p.description), "paid": paid, "got": got, "balance": g(p.balance),
-        "reference": g(p.description) if p.reference_in_description else line, "confidence": F.lit(p.confidence),
-    }
-    return F.struct(*[value.alias(name) for name, value in fields.items()])
-
-
-def _with_rows(lines: DataFrame, layout: Column | str, as_of: dt.date) -> DataFrame:
+PARTS = ["day", "description", "paid", "got", "balance", "mark", "kind", "referred"]
+
+
+def _parts(line: Column, p: LinePattern) -> Column:
+    """The groups of a pattern, in the order of ``PARTS``; one regex pass, and a single part where the pattern does not match."""
+    group = lambda k: f"${k}" if k else ""
+    kind = "mark" if p.mark else "columns" if p.got else "word"
+    referred = "description" if p.reference_in_description else "line"
+    parts = [group(p.day), group(p.description), group(p.paid), group(p.got), group(p.balance), group(p.mark), kind, referred]
+    return F.split(F.regexp_replace(line, p.regex + "(?s:.*)", SEP.join(parts)), SEP)
+
+
+def _with_rows(lines: DataFrame, layout: Column | str, as_of: dt.date, only: Column | None = None) -> DataFrame:
     """Add ``t``: the first complete row among the patterns of the line's layout, or null.
 
-    The cleaning expressions are written once and applied to the array of hits.
+    The patterns are tried in turn, and a line that has its row is left out of the next turn. The steps of a
+    turn are columns, which Spark works out once for a line. Lines outside ``only`` have no row.
     """
-    s = F.col("_s")
-    wanted = [p for p in PATTERNS if not isinstance(layout, str) or p.layout == layout]
-    hits = []
-    for p in wanted:
-        mine = F.lit(True) if isinstance(layout, str) else layout == p.layout
-        hits.append(F.when(mine & s.rlike(p.regex) & _usable(s, p.layout), _hit(s, p)))
-    cleaned = F.transform("_hits", lambda h: F.struct(
-        x.clean_date(h["day"], as_of).alias("date"), x.squeeze(h["description"]).alias("description"),
-        x.clean_amount(h["paid"]).alias("paid"), x.clean_amount(h["got"]).alias("got"), x.clean_amount(h["balance"]).alias("balance"),
-        h["reference"].alias("reference"), h["confidence"].alias("confidence"),
-    ))
-    # Only the generic layout asks for a minimum of text.
-    complete = F.filter("_clean", lambda h: h["date"].isNotNull() & ((h["paid"] > 0) | (h["got"] > 0)) & (
-        (h["confidence"] == 1.0) | (F.length(h["description"]) >= 3)))
-    best = F.col("_best")
-    row = F.when(best.isNotNull(), F.struct(
-        best["date"].alias("date"), best["description"].alias("description"),
-        F.when(best["paid"] > 0, best["paid"]).otherwise(best["got"]).alias("amount"),
-        F.when(best["paid"] > 0, "DEBIT").otherwise("CREDIT").alias("transaction_type"),
-        best["balance"].alias("balance"), x.extract_reference(best["reference"]).alias("reference"),
-        s.alias("raw_text"), best["confidence"].alias("confidence"),
-    ))
-    return (
-        lines.withColumn("_s", x.strip(F.col("line")))
-        .withColumn("_hits", F.array_compact(F.array(*hits)))
-        .withColumn("_clean", cleaned)
-        .withColumn("_best", F.try_element_at(complete, F.lit(1)))
-        .withColumn("t", row)
-        .drop("_s", "_hits", "_clean", "_best")
-    )
+    names = [layout] if isinstance(layout, str) else LAYOUTS
+    patterns = {name: [p for p in PATTERNS if p.layout == name] for name in names}
+    c = F.col
+    s, up, kind, mark = c("_s"), c("_up"), c("_kind"), c("_mark")
+    out = lines.withColumn("_s", x.strip(c("line") if only is None else F.when(only, c("line")))).withColumns({
+        "_up": F.upper(s), "_plain": F.replace(s, F.lit(SEP), F.lit(" ")), "t": F.lit(None).cast(ROW)})
+    for turn in range(max(map(len, patterns.values()))):
+        tried = {name: some[turn] for name, some in patterns.items() if turn < len(some)}
+        mine = {name: (F.lit(True) if isinstance(layout, str) else layout == name) & _usable(s, up, name) for name in tried}
+        parts = case_of([(mine[name], _parts(c("_plain"), p)) for name, p in tried.items()])
+        sure = case_of([(mine[name], F.lit(p.confidence)) for name, p in tried.items()])
+        out = out.withColumn("_parts", F.when(c("t").isNull() & s.isNotNull(), parts))
+        hit = F.size("_parts") == len(PARTS)
+        out = out.withColumns({f"_{name}": F.when(hit, F.get("_parts", F.lit(k))) for k, name in enumerate(PARTS)})
+        # Without a mark or a second column the line says DR somewhere, or is a deposit.
+        into = F.when(kind == "word", ~up.contains("DR")).when(kind == "mark", F.upper(mark).isin("CR", "C"))
+        out_of = F.when(kind == "word", up.contains("DR")).when(kind == "mark", F.upper(mark).isin("DR", "D"))
+        out = out.withColumns({"_into": F.coalesce(into, F.lit(False)), "_out_of": F.coalesce(out_of, F.lit(False))})
+        out = out.withColumns({"_paid": F.when(~c("_into"), c("_paid")), "_got": F.when(c("_into"), c("_paid")).when(~c("_out_of"), c("_got"))})
+        out = out.withColumns({
+            "_date": F.when(c("_day").isNotNull(), x.clean_date(c("_day"), as_of)), "_description": x.squeeze(c("_description")),
+            "_paid": x.clean_amount(c("_paid")), "_got": x.clean_amount(c("_got")), "_balance": x.clean_amount(c("_balance")),
+            "_reference": F.when(c("_referred") == "description", c("_description")).when(c("_referred") == "line", s), "_sure": sure,
+        })
+        # Only the generic layout asks for a minimum of text.
+        complete = c("_date").isNotNull() & ((c("_paid") > 0) | (c("_got") > 0)) & ((c("_sure") == 1.0) | (F.length("_description") >= 3))
+        row = F.struct(
+            c("_date").alias("date"), c("_description").alias("description"), F.when(c("_paid") > 0, c("_paid")).otherwise(c("_got")).alias("amount"),
+            F.when(c("_paid") > 0, "DEBIT").otherwise("CREDIT").alias("transaction_type"), c("_balance").alias("balance"),
+            x.extract_reference(c("_reference")).alias("reference"), s.alias("raw_text"), c("_sure").alias("confidence"),
+        )
+        out = out.withColumn("t", F.coalesce("t", F.when(complete, row)))
+    # A filter on the row stays above the steps that made it.
+    return out.select(*lines.columns, computed_once(c("t")).alias("t"))
 
 
 def parse_layout(lines: DataFrame, layout: str, as_of: dt.date) -> DataFrame:
@@ -202,11 +198,15 @@ def parse_layout(lines: DataFrame, layout: str, as_of: dt.date) -> DataFrame:
 
 
 def first_named(lines: DataFrame, names: list[tuple[str, str]], alias: str) -> DataFrame:
-    """First name, in list order, whose pattern occurs on any line of the file."""
-    up = F.upper("line")
-    k = case_of([(up.rlike(p), F.lit(n)) for n, (_, p) in enumerate(names)])
+    """First name, in list order, whose pattern occurs on any line of the file.
+
+    Most lines have no plain beginning of any pattern in them and are not searched with the patterns.
+    """
+    up = F.col("_up")
+    near = any_contains(up, beginnings(p for _, p in names))
+    k = F.when(near, case_of([(up.rlike(p), F.lit(n)) for n, (_, p) in enumerate(names)]))
     labels = F.array(*[F.lit(name) for name, _ in names])
-    return lines.groupBy("file").agg(F.min(k).alias("k")).select("file", F.try_element_at(labels, F.col("k") + 1).alias(alias))
+    return lines.select("file", F.upper("line").alias("_up")).groupBy("file").agg(F.min(k).alias("k")).select("file", F.try_element_at(labels, F.col("k") + 1).alias(alias))
 
 
 def detect_banks(lines: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def parse_statements(lines: DataFrame, as_of: dt.date) -> DataFrame:
     # A file is bounded by the size limit, so it may be looked at as one group.
     any_row = F.max(F.col("own").isNotNull()).over(Window.partitionBy("file"))
     retry = ~F.col("_any") & (F.col("layout") != "generic")
-    second = _with_rows(own.withColumn("_any", any_row).withColumn("line", F.when(retry, F.col("line"))), "generic", as_of)
+    second = _with_rows(own.withColumn("_any", any_row), "generic", as_of, retry)
     rows = second.withColumn("t", F.coalesce("own", "t")).filter("t IS NOT NULL").select("file", "line_no", "bank", "t.*")
     return rows.withColumn("category", x.description_class(F.col("description")))
 

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from spendlake.functions import quality
+from spendlake.functions import quality, rules, text
 from spendlake.operators import categorize, classifier, matching
 from spendlake.plans import ingest
 from spendlake.plans.ingest import AS_OF
@@ -81,3 +81,41 @@ def test_tasks_move_the_files_they_wrote(spark, inputs, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (seen.update({k: v}), real(self, k, v))[1])
     path = ingest._write_files(inputs, inputs.csv_lines.limit(300))
     assert seen.get("mapreduce.fileoutputcommitter.algorithm.version") == "2" and spark.read.text(path).count() == 300
+
+
+def test_a_line_passes_every_layout_pattern_once(inputs):
+    plan = layouts.parse_statements(inputs.text_lines, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    own = [p.regex for p in layouts.PATTERNS if p.layout != "generic"]  # two banks share one
+    assert [plan.count(regex) for regex in own] == [own.count(regex) for regex in own]
+    # The later reading of a file without rows is the only second use of the generic ones.
+    assert [plan.count(regex) for regex in layouts.GENERIC] == [2] * len(layouts.GENERIC)
+
+
+def test_statement_lines_of_odd_shape(spark):
+    lines = [
+        ("a", 0, "State  Bank of India"), ("a", 1, "05/01/2000  SHOP\x0112  30.00 CR 45000.00"), ("a", 2, None), ("a", 3, "05/01/2000 SHOP 30.00 CR 45.00\rPage 1"),
+        ("a", 4, "x"), (None, 0, "05/01/2000 SHOP 30.00 CR 45.00"), ("b", 0, "HDFC BANK"), ("b", 1, "5/1/2000 SHOP 30.00CR"), ("b", 2, "5/1/2000 ab 30.00 DR"),
+        ("c", 1, "5/1/2000 no amount here"), ("d", 0, "axis bank or sbi"), ("d", 1, "5 Jan 2000 6 Jan 2000 CASH  77  9.00    1.00"),
+    ]
+    got = layouts.parse_statements(spark.createDataFrame(lines, "file string, line_no long, line string"), AS_OF)
+    rows = {(r["file"], r["line_no"]): (str(r["date"]), r["description"], r["amount"], r["transaction_type"], r["balance"], r["bank"], r["confidence"]) for r in got.collect()}
+    assert rows == {
+        ("a", 1): ("2000-01-05", "SHOP 12", 30.0, "CREDIT", 45000.0, "sbi", 1.0), ("a", 3): ("2000-01-05", "SHOP", 30.0, "CREDIT", 45.0, "sbi", 1.0),
+        ("b", 1): ("2000-01-05", "SHOP", 30.0, "CREDIT", None, "hdfc", 0.7), ("d", 1): ("2000-01-05", "CASH", 9.0, "DEBIT", 1.0, "sbi", 1.0),
+    }
+
+
+def test_names_are_searched_only_near_their_beginnings(spark):
+    assert rules.beginnings(["HDFC\\s*BANK|HDFCBANK", "PAYTM?|PAY\\s*TM", "BOB"]) == ["BOB", "HDFC", "PAY"]
+    lines = [("a", "paid to Phone Pe"), ("a", "BHIM"), ("b", "nothing"), ("c", None), (None, "gpay")]
+    got = layouts.detect_upi_apps(spark.createDataFrame(lines, "file string, line string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "phonepe"), ("b", None), ("c", None), (None, "gpay")}
+
+
+def test_plain_amounts_and_second_readings_of_dates(spark):
+    texts = ["1,23,456.78", "45000.00", "5.", ",", ".5", "1.2.3", "-7", "(8)", "Rs. 9", "9 DR", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.clean_amount(F.col("t"))).collect()
+    assert [r[0] for r in got] == [123456.78, 45000.0, 5.0, None, 0.5, 1.23, -7.0, -8.0, 9.0, -9.0, None, None]
+    days = ["03/02/2001", "03/02/2001 ", "12/25/2000", "25/12/2000", "01/01/1980", "5/6/75", "5/6/99", "2099-01-01", None, "x"]
+    frame = spark.createDataFrame([(t,) for t in days], "t string").select(text.clean_date(F.col("t"), AS_OF).cast("string").alias("d"))
+    assert [r[0] for r in frame.collect()] == ["2001-02-03", "2001-02-03", "2000-12-25", "2000-12-25", None, None, "1999-06-05", "1999-01-01", None, None]
