@@ -10,6 +10,8 @@ from spendlake.operators import categorize, classifier, matching
 from spendlake.plans import ingest
 from spendlake.plans.ingest import AS_OF
 from spendlake.sources import delimited, layouts
+from spendlake.plans.streams import _uploads
+from spendlake.streaming import jobs
 from tests.test_properties import plan_of
 
 
@@ -119,3 +121,59 @@ def test_plain_amounts_and_second_readings_of_dates(spark):
     days = ["03/02/2001", "03/02/2001 ", "12/25/2000", "25/12/2000", "01/01/1980", "5/6/75", "5/6/99", "2099-01-01", None, "x"]
     frame = spark.createDataFrame([(t,) for t in days], "t string").select(text.clean_date(F.col("t"), AS_OF).cast("string").alias("d"))
     assert [r[0] for r in frame.collect()] == ["2001-02-03", "2001-02-03", "2000-12-25", "2000-12-25", None, None, "1999-06-05", "1999-01-01", None, None]
+
+
+def test_uploads_are_the_files_of_the_sink(spark, inputs):
+    names = ["a", "b c", "x=1/2%3:*?#", "é[{^]\"'\\", "", None]
+    rows = [(name, n, text) for name in names for n, text in ((2, "last é"), (0, "first"), (1, None), (1, ""))] + [(None, 3, "end")]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+
+    def held(path):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").collect()
+        return {re.search("name=([^/]*)", r["path"]).group(1): bytes(r["content"]) for r in files}
+
+    got = held(_uploads(inputs, lines))
+    assert got == held(ingest._write_files(inputs, lines)) and len(got) == 5
+    assert got["a"] == "first\n\n\nlast é\n".encode()
+
+
+def test_new_files_are_listed_and_read_by_few_tasks_and_opened_once(spark, tmp_path, monkeypatch):
+    count = 2 * jobs.LISTED * spark.sparkContext.defaultParallelism
+    for n in range(count):
+        (tmp_path / "in" / f"d{n}").mkdir(parents=True)
+        (tmp_path / "in" / f"d{n}" / "f.csv").write_text(f"Date,Description,Amount\n01/02/2000,SHOP {n},-{n + 1}.50\n")
+    seen = []
+    real = delimited.parse_lines
+    monkeypatch.setattr(delimited, "parse_lines", lambda lines, as_of: (seen.append(lines.inputFiles()), real(lines, as_of))[1])
+    before = spark.conf.get(jobs.LISTING)
+    try:
+        jobs.ingest_statements(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), AS_OF).awaitTermination()
+        assert int(spark.conf.get(jobs.LISTING)) == jobs.LISTED * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(jobs.LISTING, before)
+    rows = spark.read.parquet(str(tmp_path / "out")).select("description", "amount").collect()
+    assert {tuple(r) for r in rows} == {(f"SHOP {n}", n + 1.5) for n in range(count)}
+    # The batch is read once, into a table of a few files that both readings of its lines use.
+    assert len(seen) == 1 and all("/lines-" in f for f in seen[0]) and len(seen[0]) <= count // 2
+
+
+def test_headers_of_files_are_found_once(inputs):
+    done = delimited.parse_lines(inputs.csv_lines, AS_OF)
+    assert nodes(done, "Window") == 0 and plan_of(done).count("collect_list") == 0
+
+
+def test_descriptions_are_normalised_once(spark, inputs):
+    rows = inputs.transactions.limit(50)
+    done = categorize.auto_categorize(rows, inputs.categories, inputs.merchant_keywords, inputs.merchant_keywords.select(
+        "ord", "merchant", F.col("keyword").alias("pattern"), "category", "subcategory"))
+    # The texts and the rows with their category are stored; what reads them does not work them out again.
+    assert "VPA:" not in plan_of(done) and nodes(done, "SortMergeJoin LeftOuter") <= 1
+
+
+def test_classes_behind_their_first_letters(spark):
+    assert rules.behind_first_letters("SIP|MF\\s*X") == "(?=[MS])(?:SIP|MF\\s*X)"
+    for pattern in ("A?B|C", "[ab]|C", "A(B|C)", ""):
+        assert rules.behind_first_letters(pattern) == pattern
+    texts = ["Swiggy order", "bill   pay", "neft x", "mutual fund", "straße 7", "", None, "ǆ vi"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.description_class(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["Food & Dining", "Utilities", "Transfer", "Investment", "Other", None, None, "Utilities"]
